@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, lm_scoring, ngram_join, packing, quality
+from . import bpe, language_id, license_scan, lm_scoring, ngram_join, packing, quality
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_join": op3_ngram_join,
         "op4_lm_scoring": op4_lm_scoring,
         "op7_packing": op7_packing,
+        "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
     }
 
