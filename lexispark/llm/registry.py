@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, lm_scoring, ngram_join, packing, quality
+from . import bpe, html_extract, language_id, license_scan, lm_scoring, ngram_join, packing, quality
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.fit(docs))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_ngram_join": op3_ngram_join,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_html_extract": op5_html_extract,
         "op7_packing": op7_packing,
         "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
