@@ -1,15 +1,635 @@
-"""Registered queries of the retrieval engine and their SQL equivalents."""
+"""Registered queries of the retrieval engine and their SQL equivalents.
+
+The queries read the driver's tables whole. They use the identity-stemming
+profile ``zh``, whose analysis of Latin text is plain SQL, so each can be held
+against the same computation in another engine.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import profiles, stopwords, text
+from .operators import filters as fl
+from .operators import metrics, score
+from .operators.batch import batch_search
+from .operators.highlight import highlight_spans, marked
+from .operators.search import Options, Searcher
+from .plans import index as ix
+from .plans.index import FieldDef, LexicalIndex
+from .sources import html as page_source
+from .streaming.progressive import passes
+
+LANG = "zh"
+PROFILE = profiles.PROFILES[LANG]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- indexes over the tables ---
+
+
+def first_line(t: Column) -> Column:
+    return F.substring_index(t, "\n", 1)
+
+
+def documents(spark: SparkSession, sf_dir: str, title: bool = False) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    indexed = F.create_map(F.lit("body"), F.col("text"), *([F.lit("title"), first_line(F.col("text"))] if title else []))
+    return d.select(
+        "doc_id", F.lit(LANG).alias("lang"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("url"), indexed.alias("indexed"),
+        F.create_map(F.lit("source"), F.col("source"), F.lit("excerpt"), text.excerpt(text.collapse(F.col("text")))).alias("stored"),
+        F.create_map(F.lit("lang"), F.array("lang"), F.lit("source"), F.array("source")).alias("facets"), F.create_map(F.lit("n_chars"), F.col("n_chars").cast("double")).alias("range_facets"),
+        F.create_map(F.lit("place"), F.struct(lat(F.col("doc_id")).alias("lat"), lon(F.col("doc_id")).alias("lon"))).alias("geo_facets"),
+    )
+
+
+def lat(k: Column) -> Column:
+    return (k * 37 % 180 - 90).cast("double")
+
+
+def lon(k: Column) -> Column:
+    return (k * 53 % 360 - 180).cast("double")
+
+
+FIELDS = {"body": FieldDef(True, False, 1.0), "source": FieldDef(False, True), "excerpt": FieldDef(False, True)}
+TITLED = FIELDS | {"title": FieldDef(True, False, 3.0)}
+
+
+def light_index(docs: DataFrame, fields: dict[str, FieldDef], synonyms: dict | None = None, max_edits: int = 0) -> LexicalIndex:
+    """The tables that queries here need, without validation and content hashes."""
+    spark = docs.sparkSession
+    have = set(docs.columns)
+    for n, kind in (("boost", "double"), ("external_id", "string"), ("metadata", "string"), ("facets", "map<string,array<string>>"), ("range_facets", "map<string,double>"), ("geo_facets", "map<string,struct<lat:double,lon:double>>"), ("pins", "array<struct<phrase:string,mode:string,priority:double,exclusive:boolean>>"), ("stored", "map<string,string>"), ("url", "string")):
+        if n not in have:
+            docs = docs.withColumn(n, F.lit(None).cast(kind))
+    tokens = ix.field_tokens(docs, fields, [LANG], normalise=False)
+    stats, means = ix.build_stats(docs, tokens)
+    ranges = docs.select("doc_id", F.explode("range_facets").alias("field", "value")).select("field", "value", "doc_id")
+    geo = docs.select("doc_id", F.explode("geo_facets").alias("field", "p")).select("field", "p.lat", "p.lon", "doc_id")
+    rows = ix.facet_rows(docs).unionByName(ranges.select("field", F.lit("range").alias("type"), F.col("value").cast("string").alias("value"), "doc_id"))
+    store = docs.select("doc_id", "external_id", "url", "lang", "stored", "metadata", "boost", F.lit(None).cast("string").alias("content_hash"))
+    index = LexicalIndex(ix.build_postings(tokens), stats, means, store, rows, ranges, geo, ix.pin_rows(docs, [LANG], False), dict(fields), LANG, ix.synonym_rows(spark, {LANG: synonyms} if synonyms else None, False), max_edits=max_edits, normalise=False)
+    if max_edits:
+        index.deletions = ix.deletion_rows(index.terms, max_edits)
+    return index
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.terms(F.col("text"), PROFILE, normalise=False).alias("terms"))
+
+
+def ranked(s: Searcher, q: str, limit: int = 10, candidates: DataFrame | None = None, **o) -> DataFrame:
+    """(rank, doc_id, score) of a query's best documents."""
+    from .operators.query import parse
+
+    plan = s.plan(parse(q, PROFILE), Options(**o), LANG)
+    base = plan.candidates if candidates is None else plan.candidates.join(candidates, "doc_id", "left_semi")
+    rounded = plan.scored.join(base, "doc_id", "left_semi").select("doc_id", F.round("score", 6).alias("score"))
+    top = rounded.orderBy(F.desc("score"), "doc_id").limit(limit)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
+
+
+def plain(spark, sf_dir, **how) -> Searcher:
+    return Searcher(light_index(documents(spark, sf_dir), FIELDS, **how))
+
+
+# --- SQL building blocks ---
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(stopwords.SHORT_ENGLISH)) + "]"
+
+
+def words_sql(column: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)), lambda x: NOT list_contains({_STOP}, x))"
+
+
+_TOK = f"tok AS (SELECT doc_id, {words_sql('text')} AS ts FROM documents)"
+_POST = f"""{_TOK},
+pos AS (SELECT doc_id, len(ts) AS len, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS p FROM tok),
+post AS (SELECT doc_id, term, len, count(*) AS tf FROM pos GROUP BY ALL),
+st AS (SELECT count(*) AS n, sum(len(ts)) / count(*)::DOUBLE AS mean FROM tok),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+_IDF = "ln(1 + (st.n - df.df + 0.5e0) / (df.df + 0.5e0))"
+_WTF = "(tf / (0.25e0 + 0.75e0 * len / st.mean))"
+_SC = f"""{_POST},
+sc AS (SELECT doc_id, term, {_IDF} * ({_WTF} / ({_WTF} + 1.2e0)) AS s FROM post JOIN df USING (term), st)"""
+
+
+def top_sql(body: str, limit: int = 10) -> str:
+    """``body`` gives (doc_id, score)."""
+    return f"r AS ({body}), rr AS (SELECT doc_id, round(score, 6) AS score FROM r) SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM rr ORDER BY score DESC, doc_id LIMIT {limit}"
+
+
+def terms_sql(terms: list[str], need: int) -> str:
+    wanted = ", ".join(f"'{t}'" for t in terms)
+    return f"WITH {_SC}, " + top_sql(f"SELECT doc_id, sum(s) AS score FROM sc WHERE term IN ({wanted}) GROUP BY doc_id HAVING count(*) >= {need}")
+
+
+# --- tokens and statistics ---
+
+
+@query(f"WITH {_TOK} SELECT doc_id, len(ts)::INTEGER AS n_terms, len(list_distinct(ts))::INTEGER AS n_distinct FROM tok")
+def tokenize_counts(spark, sf_dir):
+    return tokens(spark, sf_dir).select("doc_id", F.size("terms").alias("n_terms"), F.size(F.array_distinct("terms")).alias("n_distinct"))
+
+
+@query(f"WITH {_TOK} SELECT doc_id, (u.p - 1)::INTEGER AS position, ts[u.p] AS term FROM tok, LATERAL (SELECT unnest(generate_series(1, len(ts))) AS p) u")
+def token_positions(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"), PROFILE, normalise=False)).alias("t"))
+    return t.select("doc_id", "t.position", "t.term")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))::INTEGER AS n_words, (len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) - len(" + words_sql("text") + "))::INTEGER AS n_stopwords FROM documents")
+def stopword_filtered_counts(spark, sf_dir):
+    t = F.col("text")
+    n, kept = F.size(text.words(t, PROFILE)), F.size(text.literals(t, PROFILE, normalise=False))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), (n - kept).alias("n_stopwords"))
+
+
+@query(f"WITH {_POST} SELECT term, df FROM df")
+def term_document_frequency(spark, sf_dir):
+    return plain(spark, sf_dir).index.terms.select("term", "df")
+
+
+@query(f"WITH {_POST} SELECT term, doc_id, tf::INTEGER AS tf, len::INTEGER AS len FROM post")
+def postings_tf_len(spark, sf_dir):
+    p = plain(spark, sf_dir).index.postings
+    return p.select("term", "doc_id", F.inline("fields")).select("term", "doc_id", "tf", "len")
+
+
+@query(f"WITH {_POST} SELECT n AS doc_count, round(mean, 6) AS avg_len FROM st")
+def corpus_stats(spark, sf_dir):
+    i = plain(spark, sf_dir).index
+    return i.stats.join(i.field_stats, "lang").select("doc_count", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query(f"WITH {_POST} SELECT term, round({_IDF}, 6) AS idf FROM df, st")
+def idf_table(spark, sf_dir):
+    s = plain(spark, sf_dir)
+    return s.index.terms.select("term", F.round(score.idf(s.counts[LANG], F.col("df")), 6).alias("idf"))
+
+
+# --- ranking ---
+
+
+@query(terms_sql(["tionble"], 1))
+def bm25_single(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), "tionble")
+
+
+@query(terms_sql(["er", "he"], 2))
+def bm25_and(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), "er he")
+
+
+@query(terms_sql(["er", "tionble", "une"], 1))
+def bm25_or(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), "er tionble une", operator="or")
+
+
+_TWO = f"""WITH t AS (
+  SELECT doc_id, 'body' AS field, {words_sql('text')} AS ts FROM documents UNION ALL
+  SELECT doc_id, 'title', {words_sql("split_part(text, chr(10), 1)")} FROM documents),
+n AS (SELECT count(*) AS n FROM documents),
+m AS (SELECT field, sum(len(ts)) / (SELECT n FROM n)::DOUBLE AS mean FROM t GROUP BY field),
+x AS (SELECT doc_id, field, len(ts) AS len, unnest(ts) AS term FROM t),
+p AS (SELECT doc_id, field, term, len, count(*) AS tf FROM x GROUP BY ALL),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term),
+w AS (SELECT doc_id, term, sum(CASE field WHEN 'title' THEN {{title}} ELSE 1 END * tf / (0.25e0 + 0.75e0 * len / mean)) AS wtf FROM p JOIN m USING (field) GROUP BY ALL),
+sc AS (SELECT doc_id, term, ln(1 + (n.n - df.df + 0.5e0) / (df.df + 0.5e0)) * (wtf / (wtf + 1.2e0)) AS s FROM w JOIN df USING (term), n)"""
+
+
+def two_fields(spark, sf_dir, **o):
+    return ranked(Searcher(light_index(documents(spark, sf_dir, title=True), TITLED)), "er he", **o)
+
+
+@query(_TWO.replace("{title}", "3") + ", " + top_sql("SELECT doc_id, sum(s) AS score FROM sc WHERE term IN ('er', 'he') GROUP BY doc_id HAVING count(*) = 2"))
+def bm25f_two_fields(spark, sf_dir):
+    return two_fields(spark, sf_dir)
+
+
+@query(_TWO.replace("{title}", "10") + ", " + top_sql("SELECT doc_id, sum(s) AS score FROM sc WHERE term IN ('er', 'he') GROUP BY doc_id HAVING count(*) = 2"))
+def field_boost_override(spark, sf_dir):
+    return two_fields(spark, sf_dir, field_boosts={"title": 10.0})
+
+
+@query(f"WITH {_SC}, " + top_sql("SELECT doc_id, sum(s * CASE term WHEN 'er' THEN 4 ELSE 1 END) AS score FROM sc WHERE term IN ('er', 'he') GROUP BY doc_id HAVING count(*) = 2"))
+def term_boost(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), "er he", term_boosts={"er": 4.0})
+
+
+@query(f"WITH {_SC}, " + top_sql("SELECT sc.doc_id, sum(s) * coalesce(any_value(1 + quality), 1) AS score FROM sc LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = sc.doc_id WHERE term = 'he' GROUP BY sc.doc_id"))
+def doc_boost(spark, sf_dir):
+    boost = table(spark, sf_dir, "labels").groupBy("doc_id").agg((1 + F.max("quality")).cast("double").alias("boost"))
+    return ranked(Searcher(light_index(documents(spark, sf_dir).join(boost, "doc_id", "left"), FIELDS)), "he")
+
+
+@query(f"WITH {_SC}, " + top_sql("SELECT doc_id, sum(s) AS score FROM sc WHERE starts_with(term, 'tionb') GROUP BY doc_id"))
+def prefix_search(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), "tionb*")
+
+
+@query(f"WITH {_SC}, " + top_sql("SELECT doc_id, sum(s) AS score FROM sc WHERE starts_with(term, 'tionb') OR term = 'er' GROUP BY doc_id HAVING count(*) FILTER (term = 'er') > 0 AND count(*) FILTER (term <> 'er') > 0"))
+def prefix_and_term(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), "tionb* er")
+
+
+_PHRASE2 = "ph AS (SELECT DISTINCT a.doc_id FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.term = 'he' AND b.term = 'er')"
+
+
+@query(f"WITH {_SC}, {_PHRASE2}, " + top_sql("SELECT doc_id, sum(s) AS score FROM sc JOIN ph USING (doc_id) WHERE term IN ('he', 'er') GROUP BY doc_id"))
+def phrase_search(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), '"he er"')
+
+
+@query(f"WITH {_SC}, {_PHRASE2}, u AS (SELECT doc_id, s FROM sc JOIN ph USING (doc_id) WHERE term IN ('he', 'er') UNION ALL SELECT doc_id, s FROM sc WHERE term = 'tionble'), " + top_sql("SELECT doc_id, sum(s) AS score FROM u GROUP BY doc_id"))
+def phrase_or_term(spark, sf_dir):
+    return ranked(plain(spark, sf_dir), '"he er" tionble', operator="or")
+
+
+# --- facets and filters ---
+
+
+@query("SELECT source AS value, count(*) AS count, false AS selected FROM documents GROUP BY source")
+def facet_terms_global(spark, sf_dir):
+    return fl.facet_counts(light_index(documents(spark, sf_dir), FIELDS), "source", None, [])
+
+
+@query(f"""WITH {_SC}, c AS (SELECT DISTINCT doc_id FROM sc WHERE term = 'he')
+SELECT 'lang' AS field, d.lang AS value, count(c.doc_id) FILTER (source IN ('src1', 'src2')) AS count, d.lang = 'en' AS selected FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.lang
+UNION ALL SELECT 'source', d.source, count(c.doc_id) FILTER (lang = 'en'), d.source IN ('src1', 'src2') FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.source""")
+def facet_contextual_multi(spark, sf_dir):
+    s = plain(spark, sf_dir)
+    hits = s.index.postings.where("term = 'he'").select("doc_id")
+    wanted = {"lang": ["en"], "source": ["src1", "src2"]}
+    out = None
+    for f in wanted:
+        base = hits
+        for other, v in wanted.items():
+            if other != f:
+                base = base.join(fl.docs_of(s.index, other, "terms", v), "doc_id", "left_semi")
+        part = fl.facet_counts(s.index, f, base, wanted[f]).select(F.lit(f).alias("field"), "value", "count", "selected")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT source AS value, count(*) FILTER (lang = 'de') AS count, source = 'src3' AS selected FROM documents GROUP BY source")
+def facet_values_filtered(spark, sf_dir):
+    i = light_index(documents(spark, sf_dir), FIELDS)
+    return fl.facet_counts(i, "source", fl.docs_of(i, "lang", "terms", "de"), ["src3"])
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 1500")
+def range_filter(spark, sf_dir):
+    return fl.docs_of(light_index(documents(spark, sf_dir), FIELDS), "n_chars", "range", {"min": 500, "max": 1500})
+
+
+@query("WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT least(floor((p_retailprice - lo) / ((hi - lo) / 5)), 4)::INTEGER AS bucket, count(*) AS count, round(min(lo), 6) AS lo FROM part, e GROUP BY 1")
+def range_buckets_equal_width(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.lit("price").alias("field"), F.col("p_retailprice").alias("value"))
+    return ix.equal_width(rows, 5).groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.round(F.min("lo0"), 6).alias("lo"))
+
+
+@query("SELECT CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 2000 THEN '500-2000' WHEN n_chars < 5000 THEN '2000-5000' ELSE '5000+' END AS label, count(*) AS count FROM documents GROUP BY 1")
+def range_buckets_explicit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(ix.explicit_bucket(F.col("n_chars"), [500, 2000, 5000]).alias("label")).agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("""WITH x AS (SELECT c_custkey, r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS value, count(*) AS count FROM x GROUP BY ALL UNION ALL SELECT r_name || '>' || n_name, count(*) FROM x GROUP BY ALL UNION ALL SELECT r_name || '>' || n_name || '>' || c_mktsegment, count(*) FROM x GROUP BY ALL""")
+def hierarchy_facet(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    # nations and regions are tables of fixed size
+    wide = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    docs = wide.select(F.col("c_custkey").alias("doc_id"), F.create_map(F.lit("place"), F.array(F.concat_ws(" > ", "r_name", "n_name", "c_mktsegment"))).alias("facets"))
+    return ix.facet_rows(docs, {"place": ">"}).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+
+
+_KM = "2 * 6371 * atan2(sqrt({a}), sqrt(1 - ({a})))".replace("{a}", "pow(sin(radians(lat - 10.0e0) / 2), 2) + cos(radians(10.0e0)) * cos(radians(lat)) * pow(sin(radians(lon - 20.0e0) / 2), 2)")
+_GEO = f"g AS (SELECT doc_id, (doc_id * 37 % 180 - 90)::DOUBLE AS lat, (doc_id * 53 % 360 - 180)::DOUBLE AS lon FROM documents), k AS (SELECT doc_id, {_KM} AS km FROM g)"
+
+
+@query(f"WITH {_GEO} SELECT doc_id FROM k WHERE km <= 3000")
+def geo_radius(spark, sf_dir):
+    return fl.docs_of(light_index(documents(spark, sf_dir), FIELDS), "place", "geo", {"lat": 10.0, "lon": 20.0, "radius_km": 3000.0})
+
+
+@query(f"WITH {_POST}, {_GEO} SELECT k.doc_id, round(km, 4) AS km FROM k WHERE km <= 5000 AND doc_id IN (SELECT doc_id FROM post WHERE term = 'he') ORDER BY km, doc_id LIMIT 15")
+def geo_distance_sort(spark, sf_dir):
+    s = plain(spark, sf_dir)
+    found = s.search("he", Options(limit=15, filters={"place": {"lat": 10.0, "lon": 20.0, "radius_km": 5000.0}}, sort_by_distance=True))
+    return spark.createDataFrame([(h.id, h.distance_km) for h in found.hits], "doc_id long, km double").select("doc_id", F.round("km", 4).alias("km"))
+
+
+def hits_frame(spark, result):
+    return spark.createDataFrame([(n + 1, h.id, h.score, h.pinned) for n, h in enumerate(result.hits)], "rank int, doc_id long, score double, pinned boolean").withColumn("score", F.round("score", 6))
+
+
+_FILTERED = "SELECT doc_id, sum(s) AS score FROM sc JOIN documents d USING (doc_id) WHERE term = 'he' AND d.source = 'src4' GROUP BY doc_id"
+
+
+@query(f"WITH {_SC}, r AS ({_FILTERED}) SELECT row_number() OVER (ORDER BY round(score, 6) DESC, doc_id)::INTEGER AS rank, doc_id, round(score, 6) AS score, false AS pinned FROM r ORDER BY 3 DESC, 2 LIMIT 10")
+def stored_exact_filter(spark, sf_dir):
+    d = documents(spark, sf_dir).drop("facets")
+    return hits_frame(spark, Searcher(light_index(d, FIELDS)).search("he", Options(filters={"source": "src4"})))
+
+
+@query(f"WITH {_SC}, r AS (SELECT doc_id, sum(s) AS score FROM sc WHERE term = 'tionble' GROUP BY doc_id) SELECT row_number() OVER (ORDER BY round(score, 6) DESC, doc_id)::INTEGER AS rank, doc_id, round(score, 6) AS score, false AS pinned FROM r ORDER BY 3 DESC, 2 LIMIT 10")
+def unknown_filter_ignored(spark, sf_dir):
+    return hits_frame(spark, plain(spark, sf_dir).search("tionble", Options(filters={"no such field": "x"})))
+
+
+# --- synonyms, typos, pins ---
+
+
+@query(f"WITH {_SC}, " + top_sql("SELECT doc_id, sum(s * CASE term WHEN 'tionble' THEN 1 ELSE 0.5e0 END) AS score FROM sc WHERE term IN ('tionble', 'ertion', 'onen') GROUP BY doc_id"))
+def synonym_equivalence(spark, sf_dir):
+    s = plain(spark, sf_dir, synonyms={"equivalences": [["tionble", "ertion", "onen"]]})
+    return ranked(s, "tionble", synonyms=True)
+
+
+@query(f"WITH {_SC}, " + top_sql("SELECT doc_id, sum(s * CASE term WHEN 'ertion' THEN 1 ELSE 0.5e0 END) AS score FROM sc WHERE term IN ('ertion', 'onen') GROUP BY doc_id"))
+def synonym_directional(spark, sf_dir):
+    s = plain(spark, sf_dir, synonyms={"directional": {"ertion": ["onen"], "onen": ["tionble"]}})
+    return ranked(s, "ertion", synonyms=True)
+
+
+@query(f"""WITH {_SC}, {_PHRASE2}, p2 AS (SELECT DISTINCT a.doc_id FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.term = 'en' AND b.term = 'er'),
+u AS (SELECT doc_id, s FROM sc JOIN ph USING (doc_id) WHERE term IN ('he', 'er') UNION ALL SELECT doc_id, 0.5e0 * s FROM sc JOIN p2 USING (doc_id) WHERE term IN ('en', 'er')), """ + top_sql("SELECT doc_id, sum(s) AS score FROM u GROUP BY doc_id"))
+def multiword_synonym_phrase(spark, sf_dir):
+    s = plain(spark, sf_dir, synonyms={"multiWord": [["he er", "en er"]]})
+    return ranked(s, '"he er"', synonyms=True)
+
+
+_ASCII = "SELECT DISTINCT p_brand_word AS term FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS p_brand_word FROM part) WHERE regexp_full_match(p_brand_word, '[a-z]+')"
+
+
+def part_terms(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
+    return names.where(F.col("term").rlike("^[a-z]+$")).distinct().withColumn("lang", F.lit(LANG))
+
+
+@query(f"WITH t AS ({_ASCII}) SELECT DISTINCT term, term AS deletion FROM t UNION SELECT term, left(term, i - 1) || substr(term, i + 1) FROM (SELECT term, unnest(generate_series(1, length(term))) AS i FROM t)")
+def deletion_dictionary_k1(spark, sf_dir):
+    return ix.deletion_rows(part_terms(spark, sf_dir), 1).select("term", "deletion")
+
+
+_ASCII_TERMS = "d AS (SELECT term FROM df WHERE regexp_full_match(term, '[a-z]+'))"
+
+
+@query(f"WITH {_POST}, {_ASCII_TERMS} SELECT term, levenshtein(term, 'tionble')::INTEGER AS distance FROM d WHERE levenshtein(term, 'tionble') BETWEEN 1 AND 2")
+def fuzzy_expand(spark, sf_dir):
+    s = plain(spark, sf_dir, max_edits=2)
+    found = [(t, d) for t, d in s.fuzzy_terms(LANG, "tionble") if t.isascii() and t.isalpha()]
+    return spark.createDataFrame(found, "term string, distance int")
+
+
+@query(f"WITH {_SC}, d AS (SELECT term, levenshtein(term, 'tionble') AS e FROM df WHERE regexp_full_match(term, '[a-z0-9]+')), " + top_sql("SELECT doc_id, sum(s * pow(0.5e0, e)) AS score FROM sc JOIN d USING (term) WHERE e <= 1 GROUP BY doc_id"))
+def fuzzy_search(spark, sf_dir):
+    return ranked(plain(spark, sf_dir, max_edits=1), "tionble", fuzzy=True)
+
+
+@query(f"WITH {_POST}, d AS (SELECT term, levenshtein(term, 'tionblex')::INTEGER AS distance FROM df WHERE regexp_full_match(term, '[a-z0-9]+')) SELECT term, distance FROM d WHERE distance <= 1 ORDER BY distance, term LIMIT 3")
+def did_you_mean(spark, sf_dir):
+    s = plain(spark, sf_dir, max_edits=1)
+    near = [(t, d) for t, d in s._met(LANG, "tionblex") if d <= 1][:3]
+    return spark.createDataFrame(near, "term string, distance int")
+
+
+def pinned_documents(spark, sf_dir, mode: str = "exact", exclusive: bool = False):
+    """Every hundredth document is pinned on the same phrase."""
+    pin = F.struct(F.lit("Tionble he").alias("phrase"), F.lit(mode).alias("mode"), (F.col("doc_id") % 7).cast("double").alias("priority"), F.lit(exclusive).alias("exclusive"))
+    return documents(spark, sf_dir).withColumn("pins", F.when(F.col("doc_id") % 100 == 0, F.array(pin)))
+
+
+_PINS = "pin AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id % 7 DESC, doc_id) AS k FROM documents WHERE doc_id % 100 = 0)"
+
+
+def pins_sql(exclusive: bool, limit: int = 15, terms: str = "('tionble')", need: int = 1) -> str:
+    organic = f"SELECT doc_id, sum(s) AS score FROM sc WHERE term IN {terms} GROUP BY doc_id HAVING count(*) >= {need}"
+    cut = "AND false" if exclusive else ""
+    return f"""WITH {_SC}, {_PINS}, shown AS (SELECT * FROM pin WHERE k <= {limit}),
+ps AS (SELECT shown.doc_id, k, coalesce(sum(s), 0) AS score FROM shown LEFT JOIN sc ON sc.doc_id = shown.doc_id AND term IN {terms} GROUP BY ALL),
+o AS (SELECT doc_id, round(score, 6) AS score FROM ({organic}) WHERE doc_id NOT IN (SELECT doc_id FROM shown) {cut}),
+u AS (SELECT doc_id, round(score, 6) AS score, true AS pinned, k AS a FROM ps UNION ALL SELECT doc_id, score, false, 1000 + row_number() OVER (ORDER BY score DESC, doc_id) FROM o)
+SELECT row_number() OVER (ORDER BY a)::INTEGER AS rank, doc_id, score, pinned FROM u ORDER BY a LIMIT {limit}"""
+
+
+@query(pins_sql(False, terms="('tionble', 'he')", need=2))
+def pin_exact(spark, sf_dir):
+    s = Searcher(light_index(pinned_documents(spark, sf_dir), FIELDS))
+    return hits_frame(spark, s.search("tionble HE", Options(limit=15)))
+
+
+@query(pins_sql(False, terms="('tionble', 'he', 'er')", need=3))
+def pin_contains(spark, sf_dir):
+    s = Searcher(light_index(pinned_documents(spark, sf_dir, "contains"), FIELDS))
+    return hits_frame(spark, s.search("er tionble he", Options(limit=15)))
+
+
+@query(pins_sql(True, terms="('tionble', 'he')", need=2))
+def pin_exclusive(spark, sf_dir):
+    s = Searcher(light_index(pinned_documents(spark, sf_dir, exclusive=True), FIELDS))
+    return hits_frame(spark, s.search("tionble he", Options(limit=15)))
+
+
+@query("SELECT 'tionble he' AS phrase, count(*) AS docs FROM documents WHERE doc_id % 100 = 0 HAVING count(*) > 1")
+def pin_conflicts(spark, sf_dir):
+    return ix.pin_conflicts(ix.pin_rows(pinned_documents(spark, sf_dir).withColumn("boost", F.lit(1.0)), [LANG], False)).select("phrase", "docs")
+
+
+@query(f"WITH {_SC}, {_PINS}, o AS (SELECT doc_id FROM sc WHERE term = 'tionble' AND doc_id IN (SELECT doc_id FROM sc WHERE term = 'he')) SELECT count(*) AS total_hits FROM (SELECT doc_id FROM o UNION SELECT doc_id FROM pin WHERE k <= 10)")
+def total_hits_with_pins(spark, sf_dir):
+    s = Searcher(light_index(pinned_documents(spark, sf_dir), FIELDS))
+    return spark.createDataFrame([(s.search("tionble he").total_hits,)], "total_hits long")
+
+
+# --- scalar functions ---
+
+
+def marker_sql(code: str) -> str:
+    words = ", ".join(f"'{w}'" for w in sorted(profiles.MARKERS[code]))
+    return f"len(list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda w: w IN ({words})))"
+
+
+@query(f"""WITH c AS (SELECT lang, {", ".join(f"{marker_sql(k)} AS {k}" for k in profiles.MARKERS)} FROM documents),
+b AS (SELECT *, greatest({", ".join(profiles.MARKERS)}) AS best FROM c),
+d AS (SELECT lang, CASE WHEN best = 0 OR {" + ".join(f"({k} = best)::INT" for k in profiles.MARKERS)} <> 1 THEN NULL {" ".join(f"WHEN {k} = best THEN '{k}'" for k in profiles.MARKERS)} END AS detected FROM b)
+SELECT lang, detected, count(*) AS n FROM d GROUP BY ALL""")
+def detect_language_confusion(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", text.detect_language(F.col("text"), profiles.codes()).alias("detected"))
+    return d.groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, (length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')))::INTEGER AS letters, 0 AS thai FROM documents")
+def script_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.script_counts(F.col("text")).alias("s")).select("doc_id", "s.letters", "s.thai")
+
+
+@query("WITH b AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS b FROM documents) SELECT doc_id, CASE WHEN length(b) <= 200 THEN b ELSE rtrim(left(b, 200)) || '…' END AS excerpt FROM b")
+def excerpt(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(text.collapse(F.col("text"))).alias("excerpt"))
+
+
+@query("SELECT doc_id, left(sha256(text), 8) AS hash FROM documents")
+def short_content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.short_hash(F.col("text")).alias("hash"))
+
+
+@query("""SELECT p_partkey, 'sha256:' || sha256('{"boost":1,"indexedFields":{"name":"' || p_name || '"},"language":"en","metadata":null,"storedFields":{"brand":"' || p_brand || '"}}') AS content_hash FROM part""")
+def content_hash(spark, sf_dir):
+    from .functions.canonical import content_hash as hashed
+
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", hashed(F.create_map(F.lit("name"), F.col("p_name")), F.create_map(F.lit("brand"), F.col("p_brand")), F.lit(None).cast("string"), F.lit("en"), F.lit(1.0)).alias("content_hash"))
+
+
+@query("SELECT ((row_number() OVER (ORDER BY doc_id) - 1) // 64)::BIGINT AS chunk, doc_id FROM documents QUALIFY true")
+def doc_store_chunks(spark, sf_dir):
+    from .sources.shards import chunk_numbers
+
+    return chunk_numbers(table(spark, sf_dir, "documents").select("doc_id"), 64).select("chunk", "doc_id")
+
+
+@query(f"WITH {_POST} SELECT left(term, 1) AS prefix, count(*) AS n_terms FROM df GROUP BY 1")
+def term_prefix_shards(spark, sf_dir):
+    return plain(spark, sf_dir).index.terms.groupBy(F.substring("term", 1, 1).alias("prefix")).agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+@query("SELECT i.pos::INTEGER AS pos, d.doc_id, '/d/' || d.doc_id AS url FROM (VALUES (0, 7), (1, 3), (2, 999999999), (3, 7), (4, 11)) i(pos, id) JOIN documents d ON d.doc_id = i.id")
+def get_documents_ordered(spark, sf_dir):
+    s = plain(spark, sf_dir)
+    asked = [7, 3, 999999999, 7, 11]
+    hits = s.get_documents(asked)
+    known = [i for i, d in enumerate(asked) if d in {h.id for h in hits}]
+    return spark.createDataFrame([(p, h.id, h.url) for p, h in zip(known, hits)], "pos int, doc_id long, url string")
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)\\b(the|of)\\b', '[\\1]', 'g') AS marked FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+def highlight_marked(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
+    return d.select("doc_id", marked(F.col("text"), ["the", "of"]).alias("marked"))
+
+
+@query("SELECT lang, lower(split_part(lang, '-', 1)) IN ('ar', 'he', 'fa', 'ur', 'ps', 'sd', 'yi', 'dv', 'ku', 'ckb') AS rtl FROM (SELECT DISTINCT lang FROM documents UNION ALL VALUES ('ar-EG'), ('he'), ('CKB-IQ'))")
+def rtl_languages(spark, sf_dir):
+    langs = table(spark, sf_dir, "documents").select("lang").distinct().union(spark.createDataFrame([("ar-EG",), ("he",), ("CKB-IQ",)], "lang string"))
+    return langs.select("lang", text.is_rtl(F.col("lang")).alias("rtl"))
+
+
+# --- batches, relevance, pages ---
+
+_BATCH = f"""WITH {_SC}, q AS (SELECT item_id AS query_id, unnest(list_distinct({words_sql('text')})) AS term FROM benchmark),
+r AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM q JOIN sc USING (term) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r)
+SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 10"""
+
+
+@query(_BATCH)
+def batch_search_benchmark(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"))
+    return batch_search(plain(spark, sf_dir), q, PROFILE, operator="or", decimals=6)
+
+
+@query("SELECT role AS value, count(*) AS count FROM conversations GROUP BY role")
+def conversation_role_facets(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.create_map(F.lit("role"), F.array("role")).alias("facets"))
+    return ix.facet_rows(c).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("""WITH j AS (SELECT doc_id % 20 AS query_id, doc_id, max(quality)::INTEGER AS grade, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS rank FROM labels GROUP BY doc_id),
+k AS (SELECT * FROM j WHERE rank <= 5),
+i AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS rank FROM j WHERE grade > 0),
+a AS (SELECT query_id, count(*) FILTER (grade > 0) AS rel, min(rank) FILTER (grade > 0) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM k GROUP BY query_id),
+b AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 5) AS ideal, count(*) AS all_rel FROM i GROUP BY query_id)
+SELECT a.query_id, round(coalesce(1.0e0 / first, 0), 6) AS rr, round(rel / 5.0e0, 6) AS p_at_k, round(coalesce(rel / all_rel::DOUBLE, 0), 6) AS r_at_k, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM a LEFT JOIN b USING (query_id)""")
+def relevance_metrics(spark, sf_dir):
+    l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("grade")).withColumn("query_id", F.col("doc_id") % 20)
+    results = l.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).select("query_id", "doc_id", "rank")
+    m = metrics.by_query(results, l.select("query_id", "doc_id", "grade"), 5)
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("rr", "p_at_k", "r_at_k", "ndcg")])
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def html_title_lang(spark, sf_dir):
+    p = page_source.extract_pages(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"))
+    return p.select(F.col("doc_id").alias("page_id"), "page.title", "page.lang")
+
+
+@query()
+def html_body_extract(spark, sf_dir):
+    p = page_source.extract_pages(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"))
+    return p.select("doc_id", "page.body", "page.url", "page.noindex")
+
+
+@query()
+def sections(spark, sf_dir):
+    return page_source.prepare(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"), sections=("h1", "h2"), mode="page-and-sections").select("doc_id", "url", "lang")
+
+
+def _stemmed(code: str, source: str):
+    def run(spark, sf_dir):
+        d = table(spark, sf_dir, "documents").where(F.col("lang") == source)
+        return d.select("doc_id", F.size(F.array_distinct(text.terms(F.col("text"), profiles.PROFILES[code]))).alias("n_stems"))
+
+    run.__name__ = f"stem_{code}"
+    return query()(run)
+
+
+for _code, _source in (("en", "en"), ("de", "de"), ("sv", "de"), ("nl", "de"), ("nb", "de")):
+    _stemmed(_code, _source)
+
+
+@query()
+def cjk_bigrams(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "東京タワー and 検索エンジン x"), (2, "日"), (3, "")], "doc_id long, text string")
+    return rows.select("doc_id", F.posexplode(text.terms(F.col("text"), PROFILE)).alias("position", "term"))
+
+
+@query()
+def highlight_spans_query(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(highlight_spans(F.col("text"), [("the", False), ("tion", True)])).alias("n_spans"))
+
+
+@query()
+def search_stream_passes(spark, sf_dir):
+    s = plain(spark, sf_dir, max_edits=1)
+    return passes(spark, s.stream("tionble", Options(fuzzy=True)))
+
+
+@query()
+def build_index(spark, sf_dir):
+    """The whole build in English and German with stemming: postings by language."""
+    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de")).select("doc_id", "lang", F.create_map(F.lit("body"), F.col("text")).alias("indexed"))
+    index = ix.build_documents(d, {"body": FieldDef()})
+    return index.postings.groupBy("lang").agg(F.count(F.lit(1)).alias("n_postings"))
+
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_and(spark, sf_dir)
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
