@@ -23,6 +23,8 @@ from .common import stored
 TOP = 10
 SHARD_ROWS = 65_536
 BLOCK_QUERIES = 1024
+#: A copy of a shard is sent for every so many blocks of queries.
+SLOT_BLOCKS = 4
 
 
 class Lists:
@@ -117,14 +119,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP, shard_rows: int
         d = F.size("v").alias("d")
         return rows.select(d, F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", "v").groupBy("d", "part").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
 
-    left = dealt(asked, blocks).select("d", F.col("ids").alias("qi"), F.col("v").alias("qv"))
+    left = dealt(asked, blocks).select("d", "part", F.col("ids").alias("qi"), F.col("v").alias("qv"))
     right = stored(dealt(held, shards), "shards").select(F.col("d").alias("vd"), F.col("part").alias("shard"), F.col("ids").alias("vi"), F.col("v").alias("vv"))
     # each block of queries meets each shard once: what any exact search of all
-    # queries must do. A task keeps a shard's lists for the blocks that follow
+    # queries must do. Slots deal a shard's blocks among tasks, so that one shard
+    # doesn't mean one task; the number of partitions is set, since small inputs
+    # here stand for long work and must not be coalesced
+    slots = max(1, -(-blocks // SLOT_BLOCKS))
+    tasks = min(2 * slots * shards, 20_000)
     places = right.select("vd", "shard").distinct()
-    tasks = max(1, min(blocks * shards, 20_000))
-    work = left.join(places, F.col("d") == F.col("vd")).drop("vd").repartition(tasks, "shard", F.col("qi")[0])
-    both = work.join(right.withColumnRenamed("shard", "s"), (F.col("d") == F.col("vd")) & (F.col("shard") == F.col("s"))).select("d", "shard", "qi", "qv", "vi", "vv")
+    keys = ["d", "shard", "slot"]
+    work = left.join(places, F.col("d") == F.col("vd")).drop("vd").withColumn("slot", F.pmod(F.xxhash64("part"), F.lit(slots)))
+    copies = right.withColumnRenamed("vd", "d").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    both = work.repartition(tasks, *keys).join(copies.repartition(tasks, *keys), keys).select("d", "shard", "qi", "qv", "vi", "vv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists = None, None
