@@ -59,7 +59,7 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def bounded(batches, rows: int = 2000, size: int = 8 << 20):
+def bounded(batches, rows: int = 2000, size: int = 3 << 20):
     """Cut record batches so that none holds more than ``rows`` rows or, but for
     a single longer text, about ``size`` bytes."""
     for batch in batches:
@@ -91,14 +91,18 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for key, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
-                step = np.full(size, base, np.uint64)
-                step[0] = 1
-                _POWERS[key] = np.multiply.accumulate(step)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    if have is not None and len(have) >= n:
+        return have[:n], _POWERS["down"][:n]
+    size = max(n, 1 << 22)
+    made = []
+    with np.errstate(over="ignore"):
+        for base in (_MULT, pow(_MULT, -1, 1 << 64)):
+            step = np.full(size, base, np.uint64)
+            step[0] = 1
+            made.append(np.multiply.accumulate(step, out=step))
+    if size == 1 << 22:  # what a single longer text needs isn't kept
+        _POWERS["up"], _POWERS["down"] = made
+    return made[0][:n], made[1][:n]
 
 
 # A byte that belongs to a word: ASCII letters and digits, and every byte of a

@@ -258,7 +258,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(net.labels)
-        for batch in bounded(batches, 8000, 24 << 20):
+        for batch in bounded(batches, 8000, 8 << 20):
             data, ends = byte_view(batch.column(1))
             labels, pooled = label_bytes(net, data, ends)
             size = np.diff(ends)
@@ -303,7 +303,7 @@ def keep_identified(docs: DataFrame, net: Network, least: float = 0.4, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = fields.names.index(text_col)
-        for batch in bounded(batches, 8000, 24 << 20):
+        for batch in bounded(batches, 8000, 8 << 20):
             data, ends = byte_view(batch.column(at))
             _, pooled = label_bytes(net, data, ends)
             yield batch.filter(pa.array(pooled.max(1) >= least) if len(pooled) else pa.array([], pa.bool_()))
