@@ -2,8 +2,8 @@
 
 Some of the vectors, chosen by a hash, serve as pivots. A vector is described
 by its nearest pivots in order. An inverted list for each pivot holds the
-vectors that have it among their first; vectors that meet in several lists at
-nearly the same ranks are candidates, and their cosine decides.
+vectors that have it among their first; vectors that meet in a list and share
+enough of their nearest pivots are candidates, and their cosine decides.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ THRESHOLD = 0.9
 #: Pivots a square root of the number of vectors; lists then grow with the root as well.
 PIVOTS_PER_ROOT = 8
 #: Nearest pivots that describe a vector, and how many two vectors must share.
-NEAREST = 12
+NEAREST = 16
 SHARED = 3
-#: Ranks of a shared pivot may differ by so much.
-RANKS = 3
+#: A vector is in the lists of so many of its nearest pivots.
+LISTED = 8
 #: Pivots up to this many are sent to all tasks; beyond it fewer are taken.
 MOST_PIVOTS = 16_384
 
@@ -50,14 +50,13 @@ def describe(v: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.take_along_axis(part, np.lexsort((part, -by), axis=1), 1)
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots_per_root: int = PIVOTS_PER_ROOT, nearest: int = NEAREST, shared: int = SHARED, ranks: int = RANKS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots_per_root: int = PIVOTS_PER_ROOT, nearest: int = NEAREST, shared: int = SHARED, listed: int = LISTED, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b, of vectors with at least that cosine.
 
     Vectors that are equal number by number are listed once with the least id of
     them, and that id stands for them all in the other pairs. The cosines are
-    exact; pairs are found with a recall of over 0.9. Where there are fewer
-    than ``2 * nearest`` vectors, or several lengths of vector, each length is
-    searched apart, by the same rule.
+    exact; pairs are found with a recall of over 0.9. Vectors
+    of different lengths are searched apart.
 
     Rows with a null id, or whose vector is null, empty, all zero or holds a
     null, NaN or infinite number, are in no pair. Repeated rows count once; an
@@ -74,7 +73,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots_per_root
         want = min(MOST_PIVOTS, max(2 * nearest, int(pivots_per_root * n**0.5)))
         chosen = one.where(F.col("d") == d).orderBy("k", "id").limit(want).select("v").collect()
         pivots[d] = unit([r["v"] for r in chosen]).astype(np.float32)
-        # few pivots: everyone shares them, and the ranks say little
+        # few vectors: one shared pivot is enough
         need[d] = shared if n >= 4 * nearest else 1
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # bounded by MOST_PIVOTS
 
@@ -88,27 +87,31 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots_per_root
                     part = batch.take(pa.array(some))
                     v = unit(np.asarray(part.column(1).flatten()).reshape(len(some), size))
                     order = describe(v.astype(np.float32), sent.value[size], nearest)
-                    m = order.shape[1]
+                    m, few = order.shape[1], min(listed, order.shape[1])
+                    row = pa.array(np.repeat(np.arange(len(some)), few))
+                    near = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * m), pa.array(np.sort(order, axis=1).reshape(-1).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(part.column(2), m)), pa.array(order.reshape(-1).astype(np.int32)), pa.array(np.tile(np.arange(m, dtype=np.int32), len(some))), part.column(0).take(pa.array(np.repeat(np.arange(len(some)), m))), part.column(3).take(pa.array(np.repeat(np.arange(len(some)), m)))],
-                        names=["d", "pivot", "rank", "id", "k"],
+                        [part.column(2).take(row), pa.array(order[:, :few].reshape(-1).astype(np.int32)), part.column(0).take(row), near.take(row)],
+                        names=["d", "pivot", "id", "near"],
                     )
 
-    inverted = stored(one.select("id", "v", "d", "k").mapInArrow(lists, f"d int, pivot int, rank int, id {kind}, k long"), "lists")
-    x, y = inverted.alias("x"), inverted.alias("y")
-    met = x.join(y, (F.col("x.d") == F.col("y.d")) & (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.id") < F.col("y.id")) & (F.abs(F.col("x.rank") - F.col("y.rank")) <= (ranks if min(need.values(), default=1) > 1 else nearest)))
+    inverted = stored(one.select("id", "v", "d").mapInArrow(lists, f"d int, pivot int, id {kind}, near array<int>"), "lists")
     least = F.lit(shared)
     for d, n in need.items():
         if n != shared:
-            least = F.when(F.col("d") == d, F.lit(n)).otherwise(least)
-    pairs = met.groupBy("x.d", F.col("x.id").alias("a"), F.col("x.k").alias("ka"), F.col("y.id").alias("b"), F.col("y.k").alias("kb")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a", "ka", "b", "kb")
-    va = one.select(F.col("id").alias("a"), F.col("k").alias("ka"), F.col("v").alias("va"))
-    vb = one.select(F.col("id").alias("b"), F.col("k").alias("kb"), F.col("v").alias("vb"))
+            least = F.when(F.col("x.d") == d, F.lit(n)).otherwise(least)
+    x, y = inverted.alias("x"), inverted.alias("y")
+    # pivots are counted where the lists meet, so that only candidates travel further
+    meet = (F.col("x.d") == F.col("y.d")) & (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.id") < F.col("y.id"))
+    met = x.join(y, meet & (F.size(F.array_intersect("x.near", "y.near")) >= least))
+    pairs = met.select(F.col("x.d").alias("d"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    va = one.select("d", F.col("id").alias("a"), F.col("v").alias("va"))
+    vb = one.select("d", F.col("id").alias("b"), F.col("v").alias("vb"))
 
     def dot(p, q):
         return F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
 
-    both = pairs.join(va, ["a", "ka"]).join(vb, ["b", "kb"])
+    both = pairs.join(va, ["d", "a"]).join(vb, ["d", "b"])
     cosine = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
     found = both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), cosine.alias("cosine")).where(F.col("cosine") >= threshold)
     return found.unionByName(copies).groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
