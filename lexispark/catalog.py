@@ -567,7 +567,7 @@ def relevance_metrics(spark, sf_dir):
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("rr", "p_at_k", "r_at_k", "ndcg")])
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 def html_title_lang(spark, sf_dir):
     p = page_source.extract_pages(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"))
     return p.select(F.col("doc_id").alias("page_id"), "page.title", "page.lang")
