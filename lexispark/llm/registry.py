@@ -26,7 +26,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.fit(docs))
+    return lm_scoring.score(docs, lm_scoring.fit(docs, depth=lm_scoring.DEEP))
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
