@@ -401,6 +401,13 @@ def fuzzy_expand(spark, sf_dir):
     return spark.createDataFrame(found, "term string, distance int")
 
 
+@query()
+def fuzzy_expand_all(spark, sf_dir):
+    """Every term within the edits, digits and accents included; DuckDB's levenshtein counts bytes, so it can't follow."""
+    found = plain(spark, sf_dir, max_edits=2).fuzzy_terms(LANG, "tionble")
+    return spark.createDataFrame(found, "term string, distance int")
+
+
 @query(f"WITH {_SC}, d AS (SELECT term, levenshtein(term, 'tionble') AS e FROM df WHERE regexp_full_match(term, '[a-z0-9]+')), " + top_sql("SELECT doc_id, sum(s * pow(0.5e0, e)) AS score FROM sc JOIN d USING (term) WHERE e <= 1 GROUP BY doc_id"))
 def fuzzy_search(spark, sf_dir):
     return ranked(plain(spark, sf_dir, max_edits=1), "tionble", fuzzy=True)
@@ -528,6 +535,12 @@ def highlight_marked(spark, sf_dir):
     return d.select("doc_id", marked(F.col("text"), ["the", "of"]).alias("marked"))
 
 
+@query()
+def highlight_marked_all(spark, sf_dir):
+    """All documents; DuckDB's word borders are ASCII only, so it can't follow."""
+    return table(spark, sf_dir, "documents").select("doc_id", marked(F.col("text"), ["the", "of"]).alias("marked"))
+
+
 @query("SELECT lang, lower(split_part(lang, '-', 1)) IN ('ar', 'he', 'fa', 'ur', 'ps', 'sd', 'yi', 'dv', 'ku', 'ckb') AS rtl FROM (SELECT DISTINCT lang FROM documents UNION ALL VALUES ('ar-EG'), ('he'), ('CKB-IQ'))")
 def rtl_languages(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select("lang").distinct().union(spark.createDataFrame([("ar-EG",), ("he",), ("CKB-IQ",)], "lang string"))

@@ -1,6 +1,7 @@
 """Registered queries over whole tables, on small fixtures."""
 
 from lexispark import catalog
+from lexispark.operators.highlight import highlight
 
 
 def test_build_index_takes_every_language(spark, tmp_path):
@@ -8,3 +9,34 @@ def test_build_index_takes_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["lang"]: r["n_postings"] for r in catalog.build_index(spark, str(tmp_path)).collect()}
     assert set(got) == {"en", "de", "fr", "es", "xx"} and got["fr"] == 3 and got["es"] == 3 and got["xx"] == 2
+
+
+TEXTS = ["The theory of the thing, OF course", "naïve: the cafés of Paris", "éof théof the_ of1 ofé Theé the", "日本 the 東京of of", None, ""]
+
+
+def written(spark, path, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_every_document_is_marked(spark, tmp_path):
+    got = {r["doc_id"]: r["marked"] for r in catalog.highlight_marked_all(spark, written(spark, tmp_path, TEXTS)).collect()}
+    want = {i: t and "".join(f"[{x}]" if m else x for x, m in highlight(t, [("the", False), ("of", False)])) for i, t in enumerate(TEXTS)}
+    assert got == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_terms_with_digits_and_accents(spark, tmp_path):
+    terms = "tionble tionblé tïonble tionble1 tion8le 1ionbl2 tïonblé tionbles tionb tonbel xionbly tiônblès other".split()
+    got = {r["term"]: r["distance"] for r in catalog.fuzzy_expand_all(spark, written(spark, tmp_path, [" ".join(terms), "tionble tiobnle"])).collect()}
+    want = {t: d for t in [*terms, "tiobnle"] if 0 < (d := edits(t, "tionble")) <= 2}
+    assert got == want and {"tionblé", "tion8le"} <= set(got)
