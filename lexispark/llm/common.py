@@ -163,5 +163,7 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
 
 def sampled(df: DataFrame, key, n: int, expected: int, seed: int = 7) -> DataFrame:
     """About ``n`` of ``expected`` rows, chosen by a hash of ``key``: the same on every run."""
-    share = 1.0 if expected <= n else n / expected
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    if expected <= n:
+        return df
+    # the hash takes all 64 bits, so no share is too small to be told from none
+    return df.where(F.xxhash64(key, F.lit(seed)) < F.lit((n << 64) // expected - (1 << 63)))

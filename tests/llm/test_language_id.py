@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lexispark.llm import common
 from lexispark.llm import language_id as li
 from lexispark.llm.common import byte_view
 
@@ -109,3 +110,18 @@ def test_fit_skips_what_has_no_label(spark):
     assert net.labels == ["de", "en", "fr"]
     with pytest.raises(ValueError):
         li.fit(docs.limit(0))
+
+
+def test_small_shares_and_labels_without_a_sample(spark, monkeypatch):
+    many = spark.range(100_000_000)
+    assert 60 <= common.sampled(many, "id", 120, 130_000_000).count() <= 125  # about 92
+    assert common.sampled(many.limit(50), "id", 120, 50).count() == 50
+    docs = spark.createDataFrame([(i, "some text", "ab"[i % 2]) for i in range(8)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(li, "sampled", lambda df, *a, **k: df.where("l = 'a'"))
+    with pytest.raises(ValueError, match="no document was sampled"):
+        li.fit(docs)
+
+
+def test_the_rejection_bound_follows_the_number_of_labels():
+    assert np.isclose(li.least_probability(4), 0.4) and np.isclose(li.least_probability(2), 0.6)
+    assert all(1 / n < li.least_probability(n) < 1 for n in range(2, 200))
