@@ -2,45 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import drop, fresh, scratch_path, sendable, shared_dir, stored
+
+__all__ = ["bounded", "byte_view", "check_names", "class_rows", "components", "drop", "fresh", "grams_of", "list_array", "mix", "sampled", "scratch_path", "sendable", "shared_dir", "stored", "table", "united", "words_of"]
+
+#: Edges up to this many (16 bytes each) are united in one task, and by rounds of joins beyond.
+ONE_TASK_EDGES = 1_000_000
+#: Nodes that stand for so many rows are few enough to be sent to every task.
+HOT = 10_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent a temporary folder serves, but only in local
-    mode, where driver and executors are one machine.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="lexispark-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def check_names(id_col: str, *made: str) -> None:
+    """The id keeps its name in the result, so it can't be that of another result column."""
+    if id_col.lower() in made:
+        raise ValueError(f"the id column can't be called {id_col!r}, as the result has a column of that name")
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +145,92 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def sampled(df: DataFrame, key, n: int, expected: int, seed: int = 7) -> DataFrame:
-    """About ``n`` of ``expected`` rows, chosen by a hash of ``key``: the same on every run."""
-    if expected <= n:
-        return df
-    # the hash takes all 64 bits, so no share is too small to be told from none
-    return df.where(F.xxhash64(key, F.lit(seed)) < F.lit((n << 64) // expected - (1 << 63)))
+def sampled(df: DataFrame, n: int, expected: int, *by: str, seed: int = 7) -> DataFrame:
+    """The ``n`` of ``expected`` rows that come first by a hash of the columns ``by``, then
+    by these: the same on every run, and never more than ``n``, however often rows repeat."""
+    h = F.xxhash64(*by, F.lit(seed))
+    if expected > 2 * n:
+        # twice as many as needed, so that no more of them are sorted; the hash takes
+        # all 64 bits, so no share is too small to be told from none
+        df = df.where(h < F.lit((2 * n << 64) // expected - (1 << 63)))
+    return df.orderBy(h, *by).limit(n)
+
+
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each is linked to) of edges, by hooking and halving paths."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        lo, hi = np.minimum(x, y), np.maximum(x, y)
+        apart = lo != hi
+        a, b, lo, hi = a[apart], b[apart], lo[apart], hi[apart]
+        np.minimum.at(root, hi, lo)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return nodes, nodes[root]
+
+
+def components(pairs: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
+    """(node, root): every node (a long) of a pair, with the least node it is linked to.
+
+    Up to ONE_TASK_EDGES edges one task unites them; beyond that rounds of
+    joins, each written out, hook every root to its least neighbour until none
+    changes. Both give the same.
+    """
+    edges = stored(pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges")
+    if edges.count() <= ONE_TASK_EDGES:
+
+        def run(batches):
+            held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+            if held:
+                nodes, root = united(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+                for at in range(0, len(nodes), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000]), pa.array(root[at : at + 100_000])], names=["node", "root"])
+
+        return edges.coalesce(1).mapInArrow(run, "node long, root long")
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("to")))
+    roots = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root")), "roots")
+    while True:
+        seen = both.join(roots.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("root").alias("near"))
+        step = roots.join(seen, "node").select("node", F.least("root", "near").alias("next"), "root")
+        # follow the new root one step further
+        jump = step.join(roots.select(F.col("node").alias("next"), F.col("root").alias("far")), "next", "left")
+        new = stored(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")), "roots")
+        changed = new.where("root <> old").limit(1).count()
+        drop(roots)
+        roots = new.select("node", "root")
+        roots._scratch = new._scratch
+        if not changed:
+            drop(edges)
+            return roots
+
+
+def class_rows(members: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """(id, class_id, n_links), a row for each id of ``members``.
+
+    ``members``: (id, s), an id's content as a node, null where it has none.
+    ``nodes``: (s, rep, mult), the least id of a node and how many ids it stands for.
+    ``links``: (s, root, n) of linked nodes: their component, and the ids they are linked to.
+    A class has the least of its ids for a name. Ids of one content are linked
+    to each other. An id with several contents has the least class of them and
+    the sum of their links.
+    """
+    own = nodes.select("s", "rep").join(links, "s")
+    named = own.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = sendable(stored(named, "classes"))
+    info = own.join(named, "root").select("s", "class_id", "n")
+    full = nodes.join(info, "s", "left").where((F.col("mult") > 1) | F.col("n").isNotNull())
+    full = stored(full.select("s", "mult", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links")), "nodes")
+    # a node of very many ids would be one task of a join: there are few of them, so they are sent
+    hot, cold = full.where(F.col("mult") >= HOT), full.where(F.col("mult") < HOT)
+    none = members.where(F.col("s").isNull()).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    known = members.where(F.col("s").isNotNull())
+    rest = known.join(F.broadcast(hot.select("s")), "s", "left_anti").join(cold, "s", "left")
+    rows = none.unionByName(known.join(F.broadcast(hot), "s").select("id", "class_id", "n_links"))
+    rows = rows.unionByName(rest.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    return rows.groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links")).withColumnRenamed("id", id_col)

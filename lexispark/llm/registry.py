@@ -21,7 +21,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +88,20 @@ SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
 """
 
 
+_LETTERS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: ``sym`` (a, b) are links in both directions, ``ids`` (id) all rows: classes by reachability.
+_CLASSES = """r(id, root) AS (SELECT id, id FROM ids UNION SELECT sym.b, r.root FROM r JOIN sym ON r.id = sym.a),
+c AS (SELECT id, min(root) AS class_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM sym GROUP BY a)
+SELECT c.id AS {id}, c.class_id, coalesce(n.n, 0)::BIGINT AS n_links FROM c LEFT JOIN n ON n.a = c.id"""
+_JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LETTERS}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS g FROM w),
+z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE same / (x.n + y.n - same)::DOUBLE >= 0.7e0),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), ids AS (SELECT DISTINCT doc_id AS id FROM documents),
+""" + _CLASSES.format(id="doc_id")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": _TOPK_SQL}
+    return {"op3_ngram_join": _JACCARD_SQL, "op10_topk": _TOPK_SQL}
