@@ -34,7 +34,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_pairs(table(spark, sf_dir, "embeddings"))
+    return embed_dedup.near_classes(table(spark, sf_dir, "embeddings"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,12 @@ link AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WH
 sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), ids AS (SELECT DISTINCT doc_id AS id FROM documents),
 """ + _CLASSES.format(id="doc_id")
 
+_EMBED_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
+sym AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id WHERE list_inner_product(x.e, y.e) / (x.l * y.l) >= 0.9e0), ids AS (SELECT id FROM u),
+""" + _CLASSES.format(id="vec_id")
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": _JACCARD_SQL, "op10_topk": _TOPK_SQL}
+    return {"op3_ngram_join": _JACCARD_SQL, "op6_embed_dedup": _EMBED_SQL, "op10_topk": _TOPK_SQL}
