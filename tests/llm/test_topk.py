@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lexispark.llm import topk
 
@@ -37,14 +38,33 @@ def test_against_brute_force(spark):
         assert got(topk.top_k(df, df, k=5, shard_rows=90)) == brute(rows, rows, 5)
 
 
-def test_it_stops_early_where_the_bound_allows():
+def depths(v, k=10, queries=20):
+    """Share of the lists read for each of some queries, with results held against a full scan."""
+    lists, out = topk.Lists(v.astype(np.float32)), []
+    for q in v[:queries]:
+        rows, scores, depth = lists.top(q, k)
+        want = np.argsort(-topk.exact_scores(lists.v, q), kind="stable")[:k]
+        assert rows.tolist() == want.tolist()
+        out.append(depth / len(v))
+    return np.array(out)
+
+
+def test_how_deep_the_lists_are_read():
+    """The bound stops the reading early where few dimensions carry the scores, and in
+    many alike dimensions it does so only after a good part of each list."""
     rng = np.random.default_rng(0)
-    v = (rng.exponential(size=(20000, 3)) * [10, 1, 0.1]).astype(np.float32)
-    lists = topk.Lists(np.arange(20000), v)
-    q = np.array([1.0, 0.5, 0.1])
-    ids, scores, depth = lists.top(q, 10)
-    want = np.argsort(-topk.exact_scores(v, q), kind="stable")[:10]
-    assert ids.tolist() == want.tolist() and depth < 5000
+    skewed = rng.exponential(size=(20000, 3)) * [10, 1, 0.1]
+    even = rng.normal(size=(20000, 64))
+    even /= np.linalg.norm(even, axis=1, keepdims=True)
+    assert depths(skewed).max() < 0.25
+    deep = depths(even)
+    assert deep.max() < 1 and deep.mean() > 0.02
+
+
+def test_a_query_of_zeros_meets_all():
+    v = np.float32([[3, 1], [1, 2], [0, 5]])
+    rows, scores, depth = topk.Lists(v).top(np.zeros(2), 2)
+    assert rows.tolist() == [0, 1] and scores.tolist() == [0, 0] and depth == 3
 
 
 def test_odd_rows(spark):
@@ -55,3 +75,7 @@ def test_odd_rows(spark):
     other = spark.createDataFrame([(0, [1.0, 0.0, -1.0]), (1, None)], "vec_id long, embedding array<float>")
     assert got(topk.top_k(other, df, k=100, skip_own=False)) == brute([(0, [1.0, 0.0, -1.0])], rows, 100, False)
     assert topk.top_k(df.limit(0), df).collect() == [] and topk.top_k(df, df.limit(0)).collect() == []
+    named = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.5, 0.5]), ("c", [0.0, 1.0])], "name string, embedding array<float>")
+    assert {(r.query_id, r.name) for r in topk.top_k(named, named, k=1, id_col="name").collect()} == {("a", "b"), ("b", "a"), ("c", "b")}
+    with pytest.raises(ValueError):
+        topk.top_k(df.drop("rank").withColumnRenamed("vec_id", "rank"), df, id_col="rank")
