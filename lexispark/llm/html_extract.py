@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -21,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stored
+from .common import bounded, check_names, sendable, stored
 
-#: Kept-line lists of so many pages are sent to all tasks, and joined by a shuffle beyond.
-BROADCAST_ROWS = 2_000_000
+#: The alignment of so many cells (bits) is held whole; a longer one is halved first.
+_CELLS = 1 << 28
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(
@@ -88,6 +87,55 @@ def nearest(path: str, before, after):
     return after if likeness(path, after[0]) > likeness(path, before[0]) else before
 
 
+def _row(v: int, mask: int) -> int:
+    """The next row of the alignment, a bit a line of ``b``: 0 where the common run grows."""
+    u = v & mask
+    return (v + u) | (v - u)
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequence of ``a`` with each prefix of ``b``."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    all_ = (1 << len(b)) - 1
+    v = all_
+    for x in a:
+        if x in masks:
+            v = _row(v, masks[x]) & all_
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _common(a: list, b: list) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``, by rows of bits: a row
+    costs the length of ``b`` over 64, however often lines repeat."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > _CELLS and len(a) > 1:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _common(a[:half], b[:cut]) + [half + i for i in _common(a[half:], b[cut:])]
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    all_ = (1 << len(b)) - 1
+    rows, v = [], all_
+    for x in a:
+        v = _row(v, masks.get(x, 0)) & all_
+        rows.append(v)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append(i)
+    return out[::-1]
+
+
 def shared(a: list, b: list) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
     lo = 0
@@ -96,26 +144,12 @@ def shared(a: list, b: list) -> list[int]:
     hi = 0
     while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    places: dict = {}
-    for j in range(len(b) - hi - 1, lo - 1, -1):
-        places.setdefault(b[j], []).append(j)  # from the last to the first
-    ends: list[int] = []  # the least last place in b of a common run of each length
-    link: list[tuple] = []
-    for i in range(lo, len(a) - hi):
-        for j in places.get(a[i], ()):
-            n = bisect_left(ends, j)
-            node = (i, link[n - 1] if n else None)
-            if n == len(ends):
-                ends.append(j)
-                link.append(node)
-            else:
-                ends[n], link[n] = j, node
-    middle = []
-    node = link[-1] if link else None
-    while node:
-        middle.append(node[0])
-        node = node[1]
-    return [*range(lo), *reversed(middle), *range(len(a) - hi, len(a))]
+    # lines that only one page has take no part
+    mine, theirs = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    known, asked = set(theirs), set(mine)
+    at = [lo + i for i, x in enumerate(mine) if x in known]
+    middle = [at[i] for i in _common([a[i] for i in at], [x for x in theirs if x in asked])]
+    return [*range(lo), *middle, *range(len(a) - hi, len(a))]
 
 
 def _hash_lines(lines: list[str]) -> bytes:
@@ -137,24 +171,31 @@ def neighbours(places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        rows: list[tuple] = []
+        names = ["host", "path", "rep", "partner", "partner_path", "part", "edge"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+        done: list[tuple] = []
+
+        def flush():
+            rows = list(zip(*done)) or [()] * len(names)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
+
+        def settle(before, own, after):
+            """A row is settled once the next one is known; only three are held."""
+            near = nearest(own[1], *((x[1], x[2]) if x is not None and x[0] == own[0] else None for x in (before, after)))
+            done.append((*own, near and near[1], near and near[0], part, (before is None) + 2 * (after is None)))
+
+        before = own = None
         for batch in batches:
-            rows += zip(*(c.to_pylist() for c in batch.columns))
-        cols = [[r[i] for r in rows] for i in range(3)]
-        n = len(rows)
-        around = []
-        for i in range(n):
-            before = (rows[i - 1][1], rows[i - 1][2]) if i and rows[i - 1][0] == rows[i][0] else None
-            after = (rows[i + 1][1], rows[i + 1][2]) if i + 1 < n and rows[i + 1][0] == rows[i][0] else None
-            around.append((before, after))
-        near = [nearest(r[1], *x) for r, x in zip(rows, around)]
-        for at in range(0, n, 20_000):
-            to = min(n, at + 20_000)
-            edge = [(i == 0) + 2 * (i == n - 1) for i in range(at, to)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0][at:to], pa.string()), pa.array(cols[1][at:to], pa.string()), pa.array(cols[2][at:to], pa.int64()), pa.array([x and x[1] for x in near[at:to]], pa.int64()), pa.array([x and x[0] for x in near[at:to]], pa.string()), pa.array([part] * (to - at), pa.int32()), pa.array(edge, pa.int32())],
-                names=["host", "path", "rep", "partner", "partner_path", "part", "edge"],
-            )
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is not None:
+                    settle(before, own, row)
+                before, own = own, row
+                if len(done) >= 20_000:
+                    yield flush()
+        if own is not None:
+            settle(before, own, None)
+        yield flush()
 
     form = "host string, path string, rep long, partner long, partner_path string, part int, edge int"
     found = stored(ordered.mapInArrow(run, form), "neighbours")
@@ -186,8 +227,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     each other, and of one place's pages the least id speaks for it. A page
     without a URL or host, or alone at its host, keeps all its lines. A null or
     empty page has an empty text and 0 lines. Repeated rows and null ids give a
-    row each. Other columns are not carried; an empty table gives no rows.
+    row each. Other columns are not carried; an empty table gives no rows. Lines
+    may repeat, and a page be long, without more than the product of both pages'
+    lines over 64 steps.
     """
+    check_names(id_col, "text", "n_lines", "n_shared", url_col.lower())
     keyed = _keyed(pages, id_col, url_col, html_col)
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -213,7 +257,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     both = own.join(other, "partner").select("k", "hashes", "theirs")
     gone = stored(both.mapInArrow(compare, "k long, gone array<int>").where(F.size("gone") > 0), "shared")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = sendable(gone, F.size("gone").cast("long") * 4)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 2000):

@@ -1,6 +1,7 @@
 import numpy as np
 
 from lexispark.llm import html_extract as he
+from lexispark.plans import scratch
 
 
 def lcs(a, b):
@@ -91,7 +92,7 @@ def test_boilerplate_goes_and_text_stays(spark):
 
 
 def test_hosts_that_span_partitions(spark, monkeypatch):
-    monkeypatch.setattr(he, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
@@ -108,3 +109,15 @@ def test_very_long_page(spark):
     pages = spark.createDataFrame([(1, "http://a.b/1", many + "<p>mine</p>"), (2, "http://a.b/2", "<p>line 3</p>" * 3000 + "<p>yours</p>")], "page_id long, url string, html string")
     out = {r.page_id: r for r in he.extract(pages).collect()}
     assert out[1].text.endswith("mine") and out[1].n_lines == 4001
+
+
+def test_alignment_of_long_pages_with_repeated_lines(monkeypatch):
+    assert he.shared(["x"] * 30_000 + ["a"], ["x"] * 30_000 + ["b"] + ["x"] * 9) == list(range(30_000))
+    rng = np.random.default_rng(2)
+    for cells in (1 << 28, 64):  # whole, and halved again and again
+        monkeypatch.setattr(he, "_CELLS", cells)
+        for _ in range(60):
+            a, b = rng.integers(0, 4, rng.integers(0, 40)).tolist(), rng.integers(0, 4, rng.integers(0, 40)).tolist()
+            at = he.shared(a, b)
+            it = iter(b)
+            assert at == sorted(set(at)) and len(at) == lcs(a, b) and all(a[i] in it for i in at)
