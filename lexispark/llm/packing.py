@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import check_names, stored
 
 CAPACITY = 2048
 SHARD_ITEMS = 4096
@@ -138,14 +138,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITE
     any other. Other columns are not used; an empty table gives no rows. The
     result is the same for the same rows, whatever their order.
     """
+    check_names(id_col, "bin_id", "piece", "start", "n_tokens")
     kind = docs.schema[id_col].dataType.simpleString()
     items = docs.select(F.col(id_col).alias("id"), (words(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0))).cast("int").alias("n"))
     count = docs.count()
     shards = max(1, -(-count // shard_items))
     parallel = docs.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(shards * islands, max(2 * parallel, shards * islands // 4)))
-    # what has no tokens is dealt by its own hash, so that it can't fill one shard
-    at = F.pmod(F.xxhash64("id", "n"), F.lit(shards))
+    # rows alike in id and length are numbered, so that however many they are they are
+    # dealt among all shards; thousands at a time, so that no long array is made
+    alike = items.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c"))
+    blocks = alike.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / 1000))))
+    items = blocks.withColumn("k", F.explode(F.sequence(F.col("b") * 1000, F.least(F.col("b") * 1000 + 999, F.col("c") - 1))))
+    at = F.pmod(F.xxhash64("id", "n", "k"), F.lit(shards))
     held = stored(items.groupBy(at.alias("shard")).agg(F.sort_array(F.collect_list(F.struct("n", "id")), asc=False).alias("items")), "items")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
