@@ -1,7 +1,8 @@
 """Finding of licence notices by diagonal voting.
 
-Every run of ``K`` words of every document is hashed and joined in Spark with
-the positions of the same runs in the licence templates. A match at document
+Every run of ``K`` words of every document, and of fewer for templates so short
+that no such run need survive, is hashed and joined in Spark with the positions
+of the same runs in the licence templates. A match at document
 word p and template word q votes for the diagonal p - q. Votes are added up by
 document, template and diagonal; neighbouring diagonals, which a few inserted
 or missing words cause, are merged; and the span they mark is verified by
@@ -17,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_view, grams_of, stored, words_of
+from .common import bounded, byte_view, check_names, grams_of, sendable, stored, words_of
 
 K = 3
 #: Diagonals so near to each other belong to one occurrence.
 SLACK = 4
 #: Share of a template's words that an occurrence must show in order.
 COVERAGE = 0.75
-#: Template positions and candidates up to so many rows are sent to all tasks, and shuffled beyond.
-BROADCAST_ROWS = 500_000
 
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
@@ -76,26 +75,50 @@ def common_words(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, first, last
 
 
-def rolling_grams(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, p, h): the hash of every run of ``k`` words, with its first word's
-    number; ``t`` tells texts of one id apart."""
+def occurrence(want: np.ndarray, own: np.ndarray) -> tuple[int, int, int]:
+    """``common_words`` of a template and a stretch of any length: one much longer than the
+    template is searched in windows that overlap by half, and the first best counts."""
+    size = 2 * len(want)
+    if len(own) <= 2 * size:
+        return common_words(want, own)
+    best = (0, 0, -1)
+    for at in range(0, len(own), len(want)):
+        same, a, b = common_words(want, own[at : at + size])
+        if same > best[0]:
+            best = same, at + a, at + b
+    return best
+
+
+def run_length(words: int, k: int, coverage: float) -> int:
+    """The longest run, of ``k`` words at most, of which one survives in an occurrence of
+    the least coverage with one word put in."""
+    missing = words - int(np.ceil(coverage * words))
+    while k > 1 and words - k + 1 - k * missing - (k - 1) < 1:
+        k -= 1
+    return k
+
+
+def rolling_grams(docs: DataFrame, ks: list[int], id_col: str, text_col: str) -> DataFrame:
+    """(id, t, k, p, h): the hash of every run of each of ``ks`` words, with its first
+    word's number; ``t`` tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 4000):
-            h, _, _, before = words_of(*byte_view(batch.column(2)))
-            g, at = grams_of(h, before, k)
-            of = np.searchsorted(before, at, side="right") - 1
-            p = (at - before[of]).astype(np.int32)
-            for i in range(0, len(g), 100_000):
-                row = pa.array(of[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(p[i : i + 100_000]), pa.array(g[i : i + 100_000].view(np.int64))],
-                    names=["id", "t", "p", "h"],
-                )
+            words, _, _, before = words_of(*byte_view(batch.column(2)))
+            for k in ks:
+                g, at = grams_of(words, before, k)
+                of = np.searchsorted(before, at, side="right") - 1
+                p = (at - before[of]).astype(np.int32)
+                for i in range(0, len(g), 100_000):
+                    row = pa.array(of[i : i + 100_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.full(len(row), k, np.int32)), pa.array(p[i : i + 100_000]), pa.array(g[i : i + 100_000].view(np.int64))],
+                        names=["id", "t", "k", "p", "h"],
+                    )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, t long, p int, h long")
+    return rows.mapInArrow(run, f"id {kind}, t long, k int, p int, h long")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, k: int = K, slack: int = SLACK, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,25 +127,28 @@ def scan(docs: DataFrame, known: DataFrame | None = None, k: int = K, slack: int
     Words count from 0, ``end_word`` is the word after the last. ``coverage`` is
     the share of the template's words that the span shows in the template's
     order, at least the parameter of that name; ``votes`` counts the matching
-    runs. Of occurrences of several templates that overlap all are listed. A
-    template of fewer than ``k`` words is never found; null templates are
-    skipped, and two templates of one name count as two.
+    runs. Of occurrences of several templates that overlap all are listed. An
+    occurrence must hold one run of ``k`` of the template's words whole, or, of a
+    short template, one of ``run_length`` words. Null templates and those without
+    words are skipped, and two templates of one name count as two.
 
     Null and empty texts hold nothing. Repeated rows (same id and text) count
     once; texts that share an id, null included, are scanned apart and listed
     under it. Other columns are not used. An empty table gives no rows.
     """
+    check_names(id_col, "license", "start_word", "end_word", "coverage", "votes")
     spark = docs.sparkSession
     known = templates(spark) if known is None else known
     rows = sorted({(r[0], r[1]) for r in known.select("license", "text").collect() if r[0] is not None and r[1]})
+    rows = [r for r in rows if len(word_hashes(r[1]))]
     hashed = [word_hashes(t) for _, t in rows]
+    runs = [run_length(len(h), k, coverage) for h in hashed]
     places = []
-    for n, h in enumerate(hashed):
-        g, at = grams_of(h, np.array([0, len(h)]), k)
-        places += [(int(x), n, int(q)) for x, q in zip(g.view(np.int64), at)]
-    index = spark.createDataFrame(places, "h long, n int, q int")
-    index = F.broadcast(index) if len(places) <= BROADCAST_ROWS else index
-    hits = rolling_grams(docs, k, id_col, text_col).join(index, "h").select("id", "t", "n", "p", (F.col("p") - F.col("q")).alias("d")).distinct()
+    for n, (h, length) in enumerate(zip(hashed, runs)):
+        g, at = grams_of(h, np.array([0, len(h)]), length)
+        places += [(int(x), length, n, int(q)) for x, q in zip(g.view(np.int64), at)]
+    index = sendable(spark.createDataFrame(places, "h long, k int, n int, q int"))
+    hits = rolling_grams(docs, sorted(set(runs)) or [k], id_col, text_col).join(index, ["h", "k"]).select("id", "t", "n", "p", (F.col("p") - F.col("q")).alias("d")).distinct()
     lines = hits.groupBy("id", "t", "n", "d").agg(F.count(F.lit(1)).alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
     by_line = Window.partitionBy("id", "t", "n").orderBy("d")
     apart = F.col("d") - F.lag("d").over(by_line) > slack
@@ -130,16 +156,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None, k: int = K, slack: int
         lines.withColumn("o", F.coalesce(apart.cast("int"), F.lit(0)))
         .withColumn("o", F.sum("o").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("id", "t", "n", "o")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k).alias("end"))
+        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
     # the fewest runs that a span of the least coverage can match: each missing word breaks k of them
     sizes = [len(h) for h in hashed]
-    least = [max(1, m - k + 1 - k * (m - int(np.ceil(coverage * m)))) for m in sizes]
-    need = F.element_at(F.array(*[F.lit(x) for x in least]), F.col("n") + 1) if least else F.lit(1)
-    found = stored(merged.where(F.col("votes") >= need), "spans")
+    least = [max(1, m - r + 1 - r * (m - int(np.ceil(coverage * m)))) for m, r in zip(sizes, runs)]
+
+    def of_template(values: list[int]):
+        return F.element_at(F.array(*[F.lit(x) for x in values]), F.col("n") + 1) if values else F.lit(1)
+
+    found = merged.where(F.col("votes") >= of_template(least)).withColumn("end", F.col("last") + of_template(runs))
+    found = stored(found, "spans")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     side = found.groupBy("id", "t").agg(F.collect_list(F.struct("n", "first", "end", "votes")).alias("spans"))
-    side = F.broadcast(side) if found.count() <= BROADCAST_ROWS else side
+    side = sendable(side, F.size("spans").cast("long") * 40)
     both = texts.alias("a").join(side.alias("b"), (F.col("a.t") == F.col("b.t")) & F.col("a.id").eqNullSafe(F.col("b.id"))).select("a.id", "a.t", "text", "spans")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +183,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, k: int = K, slack: int
                     # the words around the votes may belong to the notice too
                     lo = max(0, s["first"] - len(want))
                     part = own[lo : s["end"] + len(want)]
-                    same, a, b = common_words(want, part[s["first"] - lo : s["end"] - lo])
+                    same, a, b = occurrence(want, part[s["first"] - lo : s["end"] - lo])
                     a, b = a + s["first"] - lo, b + s["first"] - lo
                     if same < len(want):
-                        wide, c, d = common_words(want, part)
+                        wide, c, d = occurrence(want, part)
                         if wide > same and d - c < 1.5 * len(want):
                             same, a, b = wide, c, d
                     if same >= coverage * len(want):

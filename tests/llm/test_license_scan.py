@@ -3,6 +3,7 @@ import re
 import numpy as np
 
 from lexispark.llm import license_scan as ls
+from lexispark.plans import scratch
 
 
 def words(text):
@@ -75,8 +76,38 @@ def test_rows_nulls_and_clashing_columns(spark):
 
 
 def test_own_templates(spark, monkeypatch):
-    monkeypatch.setattr(ls, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
     known = spark.createDataFrame([("a", "one two three four"), ("b", None), (None, "x y z"), ("c", "short"), ("d", "")], "license string, text string")
     docs = spark.createDataFrame([(1, "zero one two three four five short"), (2, "one two x y z")], "doc_id long, text string")
-    assert [tuple(r)[:4] for r in ls.scan(docs, known).collect()] == [(1, "a", 1, 5)]
+    assert sorted(tuple(r)[:4] for r in ls.scan(docs, known).collect()) == [(1, "a", 1, 5), (1, "c", 6, 7)]
     assert ls.scan(docs, known.limit(0)).collect() == []
+
+
+def held(text, template):
+    """The greatest share of the template's words that a stretch of up to 1.5 times its length shows in order."""
+    w, t = words(text), words(template)
+    size = int(1.5 * len(t))
+    return max(lcs(t, w[i : i + size]) for i in range(max(1, len(w) - size + 1))) / len(t)
+
+
+def test_every_changed_notice_against_brute_force(spark):
+    """One word missing, replaced or put in at every place of every short notice, and
+    texts that hold some of their words; the search must name the same notices."""
+    rows = []
+    for name, text in ls.TEMPLATES.items():
+        own = text.split()
+        if name.endswith("-line"):
+            for i in range(len(own)):
+                rows += [own[:i] + own[i + 1 :], own[:i] + ["zz"] + own[i + 1 :], own[:i] + ["zz"] + own[i:]]
+        rows += [own[: len(own) * 7 // 10], own[len(own) // 5 :], own[::-1]]
+    rows = [(i, filler(6, i) + " " + " ".join(r) + " " + filler(5, i + 1)) for i, r in enumerate(rows)]
+    got = {(r.doc_id, r.license) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i, name) for i, text in rows for name, t in ls.TEMPLATES.items() if held(text, t) >= ls.COVERAGE}
+    assert got == want and len(want) > 100
+
+
+def test_a_text_of_one_notices_words_over_and_over(spark):
+    text = " ".join(["permission to use copy"] * 20_000)
+    assert [r.license for r in ls.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == []
+    a, b = np.arange(10), np.concatenate([np.full(90_000, 3), np.arange(10)])
+    assert ls.occurrence(a, b) == (10, 90_000, 90_009)
