@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array
+from .common import check_names, list_array
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -217,6 +217,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, id_c
     repeated rows and null ids come out as they went in; columns other than the
     two named are not carried. An empty table gives an empty result.
     """
+    check_names(id_col, "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -239,8 +240,10 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", i
     """Texts of token ids: (doc_id, text); null ids give a null text.
 
     Ids that no text encodes to may join into bytes that are not UTF-8; those
-    bytes become U+FFFD. An id outside the vocabulary raises KeyError.
+    bytes become U+FFFD. An id outside the vocabulary raises KeyError. Rows are
+    handled one by one, as in ``encode``.
     """
+    check_names(id_col, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -258,8 +261,10 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
     """Encode, decode what came out, and compare: (doc_id, n_tokens, ids, exact).
 
     ``exact`` is whether the decoded text is the original one, null for a null
-    text. One pass: nothing is shuffled and the decoded text is not kept.
+    text. One pass: nothing is shuffled and the decoded text is not kept. Nulls,
+    empty texts, repeated rows and other columns are as in ``encode``.
     """
+    check_names(id_col, "n_tokens", "ids", "exact")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
