@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_view, sampled
+from .common import bounded, byte_view, check_names, sampled
 
 WINDOW = 256
 _LANES = 4096
@@ -131,7 +131,7 @@ def _window_run(net: Network, x: np.ndarray, active: np.ndarray) -> tuple[np.nda
     f4 = np.float32
     ahead = np.empty((W, H, B), f4)
     total = np.zeros((kinds, B), f4)
-    marks = np.zeros((W, B), np.uint8)
+    marks = np.zeros((W, B), _kind(kinds))
     e, a, u, fh = (np.empty((n, B), f4) for n in (2 * H, H, H, H))
     for d in (0, 1):
         table, gate, state = net.tables[d], net.gates[d], net.states[d]
@@ -184,8 +184,12 @@ def _window_run(net: Network, x: np.ndarray, active: np.ndarray) -> tuple[np.nda
     return marks, total
 
 
+def _kind(labels: int) -> type:
+    return np.uint8 if labels <= 256 else np.int32
+
+
 def _argmax(z: np.ndarray) -> np.ndarray:
-    best, at = z[0].copy(), np.zeros(z.shape[1], np.uint8)
+    best, at = z[0].copy(), np.zeros(z.shape[1], _kind(len(z)))
     for k in range(1, len(z)):
         np.copyto(at, k, where=z[k] > best)
         np.maximum(best, z[k], out=best)
@@ -196,9 +200,12 @@ def label_bytes(net: Network, data: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     """For texts laid end to end: a label for every byte, and the texts' pooled
     probabilities (texts x labels; zeros for an empty text)."""
     texts = len(ends) - 1
-    labels = np.zeros(len(data), np.uint8)
+    labels = np.zeros(len(data), _kind(len(net.labels)))
     pooled = np.zeros((texts, len(net.labels)), np.float64)
     size = np.diff(ends)
+    if len(net.labels) < 2:  # nothing to tell apart
+        pooled[size > 0] = 1
+        return labels, pooled
     windows = -(-size // WINDOW)
     owner = np.repeat(np.arange(texts), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -224,22 +231,23 @@ def label_bytes(net: Network, data: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 
 def fit(docs: DataFrame, per_label: int = 120, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", **how) -> Network:
-    """Train on at most about ``per_label`` documents of each label.
+    """Train on at most ``per_label`` documents of each label.
 
-    Which ones is decided by a hash of the key, so the same table gives the same
-    network. Rows with a null label, key or text, or an empty text, are not
-    used; fewer than two labels are an error.
+    Which ones is decided by a hash of key and text, so the same table gives the
+    same network. Rows with a null label, key or text, or an empty text, are not
+    used. With one label, or none, there is nothing to learn: the network then
+    gives that label to every text, or none.
     """
     known = docs.select(F.col(key_col).alias("k"), F.col(label_col).alias("l"), F.col(text_col).alias("t")).where("k is not null and l is not null and length(t) > 0")
     counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        raise ValueError("training needs documents of two labels")
     labels = sorted(counts)
-    parts = [sampled(known.where(F.col("l") == l), "k", per_label, counts[l]) for l in labels]
+    if len(labels) < 2:
+        return Network(labels, [], [], [], np.zeros((len(labels), 0)), np.zeros((len(labels), 1)))
+    parts = [sampled(known.where(F.col("l") == l), per_label, counts[l], "k", "t") for l in labels]
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionAll(p)
-    rows = sorted((tuple(r) for r in chosen.limit(2 * per_label * len(labels) + 100).collect()), key=lambda r: (str(r[0]), r[2]))
+    rows = sorted((tuple(r) for r in chosen.collect()), key=lambda r: (str(r[0]), r[2]))
     missing = set(labels) - {r[1] for r in rows}
     if missing:
         raise ValueError(f"no document was sampled for {sorted(missing)}")
@@ -256,19 +264,20 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     confidence 0 and no spans. Repeated rows, null ids and ties are kept as they
     come; other columns are not carried; an empty table gives an empty result.
     """
+    check_names(id_col, "lang", "confidence", "probabilities", "n_bytes", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(net.labels)
+        names = pa.array(net.labels, pa.string())
         for batch in bounded(batches, 8000, 8 << 20):
             data, ends = byte_view(batch.column(1))
             labels, pooled = label_bytes(net, data, ends)
             size = np.diff(ends)
-            best = pooled.argmax(1)
-            empty = size == 0
+            best = pooled.argmax(1) if net.labels else np.zeros(len(size), np.int64)
+            empty = (size == 0) | (not net.labels)
             cut = np.zeros(len(data) + 1, bool)
-            if len(data):
+            if len(data) and net.labels:
                 cut[1:-1] = labels[1:] != labels[:-1]
-                cut[ends[:-1][~empty]] = True
+                cut[ends[:-1][size > 0]] = True
             at = np.flatnonzero(cut[:-1])
             stop = np.append(at[1:], len(data)) if len(at) else at
             of = np.searchsorted(ends, at, side="right") - 1
@@ -280,7 +289,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
             columns = [
                 batch.column(0),
                 names.take(pa.array(best.astype(np.int32), mask=empty)),
-                pa.array(pooled.max(1)),
+                pa.array(pooled.max(1, initial=0)),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * pooled.shape[1]), pa.array(pooled.reshape(-1))),
                 pa.array(size.astype(np.int32)),
             ]
@@ -294,6 +303,8 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
 
 def least_probability(labels: int) -> float:
+    if labels < 2:
+        return 0.0
     return 1 / labels + 0.2 * (1 - 1 / labels)
 
 
@@ -302,8 +313,10 @@ def keep_identified(docs: DataFrame, net: Network, least: float | None = None, t
     places in some language with a pooled probability of at least ``least``: if
     not given, a fifth of the way from chance to certainty, 0.4 with four labels.
 
-    Null and empty texts go. Rows are judged one by one, so repeated rows stay
-    or go together, and a null id changes nothing.
+    Null and empty texts go. Where the network knows fewer than two languages
+    there is nothing to choose from, and every other text stays. Rows are judged
+    one by one, so repeated rows stay or go together, and a null id changes
+    nothing. An empty table stays empty.
     """
     fields = docs.schema
     least = least_probability(len(net.labels)) if least is None else least
@@ -313,6 +326,6 @@ def keep_identified(docs: DataFrame, net: Network, least: float | None = None, t
         for batch in bounded(batches, 8000, 8 << 20):
             data, ends = byte_view(batch.column(at))
             _, pooled = label_bytes(net, data, ends)
-            yield batch.filter(pa.array(pooled.max(1) >= least) if len(pooled) else pa.array([], pa.bool_()))
+            yield batch.filter(pa.array((pooled.max(1, initial=0) >= least) & (np.diff(ends) > 0)))
 
     return docs.mapInArrow(run, fields)

@@ -109,13 +109,31 @@ def test_fit_skips_what_has_no_label(spark):
     net = li.fit(docs, steps=3)
     assert net.labels == ["de", "en", "fr"]
     with pytest.raises(ValueError):
-        li.fit(docs.limit(0))
+        li.identify(docs.drop("lang").withColumnRenamed("doc_id", "lang"), net, id_col="lang")
+
+
+def test_fewer_than_two_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", "en"), (2, "", "en"), (3, None, None)], "doc_id long, text string, lang string")
+    for some, want in ((docs, "en"), (docs.limit(0), None)):
+        net = li.fit(some)
+        out = {r.doc_id: r for r in li.identify(docs, net).collect()}
+        assert out[1].lang == want and out[2].lang is None and sum(s.end - s.start for s in out[1].spans) == 9 * (want is not None)
+        assert [r.doc_id for r in li.keep_identified(docs, net).collect()] == [1]
+
+
+def test_more_labels_than_a_byte_holds():
+    labels = [f"l{i:03}" for i in range(300)]
+    z = np.zeros((300, 2), np.float32)
+    z[299, 0] = z[256, 1] = 1
+    assert li._argmax(z).tolist() == [299, 256] and li._kind(len(labels)) is np.int32
 
 
 def test_small_shares_and_labels_without_a_sample(spark, monkeypatch):
     many = spark.range(100_000_000)
-    assert 60 <= common.sampled(many, "id", 120, 130_000_000).count() <= 125  # about 92
-    assert common.sampled(many.limit(50), "id", 120, 50).count() == 50
+    assert common.sampled(many, 120, 100_000_000, "id").count() == 120
+    assert common.sampled(many.limit(50), 120, 50, "id").count() == 50
+    same = spark.createDataFrame([(1, "x")] * 500 + [(2, "y")], "id long, t string")
+    assert common.sampled(same, 20, 501, "id", "t").count() <= 20
     docs = spark.createDataFrame([(i, "some text", "ab"[i % 2]) for i in range(8)], "doc_id long, text string, lang string")
     monkeypatch.setattr(li, "sampled", lambda df, *a, **k: df.where("l = 'a'"))
     with pytest.raises(ValueError, match="no document was sampled"):
