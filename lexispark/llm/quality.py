@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_view, mix, sampled, words_of
+from .common import bounded, byte_view, check_names, mix, sampled, words_of
 
 FEATURES = (
     "log_bytes",
@@ -230,22 +230,23 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> Model:
-    """Train on at most about ``most`` labelled documents, chosen by a hash of the id.
+    """Train on at most ``most`` labels, chosen by a hash of the id, and the documents they name.
 
     Rows with a null id, label or text are not used. Where an id has several
     labels or texts each pairing counts. With labels of one kind only the model
-    is that constant; with none it is an error.
+    is that constant; with none it gives every text the probability 0.5.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    n = known.count()
-    chosen = sampled(known, "k", most, n).limit(2 * most)
+    chosen = sampled(known, most, known.count(), "k", "y")
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null")
-    # the chosen labels are bounded by ``most``, so they may be sent to every task
-    rows = feature_rows(texts.join(F.broadcast(chosen), "k").select(F.struct("k", "y").alias("k"), "t"), "k", "t").collect()
+    # the chosen labels are bounded by ``most``, so they may be sent to every task; the
+    # rows they name are as few but where an id repeats, and then as many are taken
+    rows = feature_rows(texts.join(F.broadcast(chosen), "k").select(F.struct("k", "y").alias("k"), "t"), "k", "t")
+    rows = sampled(rows.select("k.k", "k.y", "features"), most, 0, "k", "y", "features").collect()
     if not rows:
-        raise ValueError("training needs labelled documents")
-    rows.sort(key=lambda r: (r["k"]["k"], r["k"]["y"], r["features"]))
-    return train(np.array([r["features"] for r in rows]), np.array([float(r["k"]["y"]) for r in rows]), **how)
+        return Model(0.0, [], [], [], [], [])
+    rows.sort(key=lambda r: (r["k"], r["y"], r["features"]))
+    return train(np.array([r["features"] for r in rows]), np.array([float(r["y"]) for r in rows]), **how)
 
 
 def classify(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,6 +258,7 @@ def classify(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "d
     scored as they come; other columns are not carried; an empty table gives an
     empty result.
     """
+    check_names(id_col, "score", "keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 4000):
@@ -269,7 +271,12 @@ def classify(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "d
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, all columns as they were."""
+    """The rows of ``docs`` that ``classify`` keeps, all columns as they were.
+
+    Null texts go; an empty text is judged by its features, all zero. Rows are
+    judged one by one, so repeated rows stay or go together and a null id
+    changes nothing. An empty table stays empty.
+    """
     at = docs.schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -83,7 +84,46 @@ def test_rows_nulls_and_clashing_columns(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in out if r.keep)
     assert q.classify(docs.limit(0), model).collect() == []
+    for none in (q.fit(docs.limit(0), labels), q.fit(docs, labels.limit(0))):
+        assert {r.score for r in q.classify(docs, none).collect()} == {0.5}
+    assert len(q.fit(docs, labels, most=20).tables) == len(q.FEATURES)
     with pytest.raises(ValueError):
-        q.fit(docs.limit(0), labels)
-    with pytest.raises(ValueError):
-        q.fit(docs, labels.limit(0))
+        q.classify(docs.drop("score").withColumnRenamed("doc_id", "score"), model, id_col="score")
+
+
+def by_hand(text):
+    """The features of one text, from their names."""
+    raw = text.encode()
+    w = re.findall(rb"[A-Za-z0-9\x80-\xff]+", raw)
+    low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in w]
+    lines = [tuple(re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), x))) for x in raw.split(b"\n")]
+    lines = [x for x in lines if x]
+    runs = list(zip(low, low[1:], low[2:]))
+    kind = lambda cls: sum(b in cls for b in raw)
+    space, n, nw, nl = kind(b"\t\n\x0b\x0c\r "), max(len(raw), 1), max(len(w), 1), max(len(lines), 1)
+    plain = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\t\n\x0b\x0c\r .,;:?'\"-()|")
+    again = lambda xs: len(xs) - len(set(xs))
+    return [
+        math.log1p(len(raw)), (len(raw) - space) / nw, kind(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, kind(b"0123456789") / n,
+        sum(len(x) <= 3 for x in w) / nw, sum(b < 128 and b not in plain for b in raw) / n, kind(b"|") / n, sum(b >= 128 for b in raw) / n,
+        len(w) / nl, again(low) / nw, again(lines) / nl, again(runs) / nw,
+    ]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The registered query: features by hand, tables looked up one by one."""
+    from lexispark.llm import registry
+
+    rng = np.random.default_rng(5)
+    rows = [(i, *doc(i, rng)) for i in range(150)] + [(200, "", 1), (201, "Ünder | the\nThe the\nthe THE the the !!", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = q.fit(docs, labels)
+    for r in registry.op9_quality(spark, str(tmp_path)).collect():
+        x = by_hand(dict((i, t) for i, t, _ in rows)[r.doc_id])
+        z = model.base + sum(t[sum(c <= v for c in cut)] for t, cut, v in zip(model.tables, model.cuts, x))
+        for (a, b), grid in zip(model.pairs, model.grids):
+            z += grid[sum(c <= x[a] for c in model.coarse[a])][sum(c <= x[b] for c in model.coarse[b])]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-6) and r.keep == (r.score >= 0.5)
