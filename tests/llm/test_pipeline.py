@@ -51,15 +51,8 @@ def test_each_stage_against_its_plain_version(spark, folder):
     one = cp.one_of_each(spark, named, sf_dir)
     assert one.columns == columns
     root = {i: i for i in sure}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in brute([(i, texts[i]) for i in sorted(sure)]):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
+    for i, (least, _) in brute([(i, texts[i]) for i in sorted(sure)])[1].items():
+        root[i] = least
     assert {r.doc_id for r in one.collect()} == {i for i in sure if root[i] == i}
 
     rows = cp.packed(spark, one, sf_dir).collect()
@@ -76,7 +69,18 @@ def test_run_applies_all_stages(spark, folder):
     assert len(cp.STAGES) == 4 and ids and not ids & ({400} | set(range(100, 130)) | set(range(300, 306)))
 
 
-def test_empty_documents_reach_packing(spark, folder):
-    empty = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
-    assert cp.one_of_each(spark, empty, folder[0]).collect() == []
-    assert cp.packed(spark, empty, folder[0]).collect() == []
+def tables(path, rows, labels):
+    ids, texts, langs = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+    path.mkdir()
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string()), "n": pa.array([1] * len(ids)), "__id": pa.array([2] * len(ids))}), path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in labels], pa.int64()), "quality": pa.array([q for _, q in labels], pa.int32())}), path / "labels.parquet")
+    return str(path)
+
+
+def test_odd_tables_run_through_all_stages(spark, tmp_path):
+    """No documents; one language; no labels; nulls, repeats, ties and clashing columns."""
+    assert cp.run(spark, tables(tmp_path / "a", [], [])).collect() == []
+    rows = [(1, "one text of some words", "en"), (1, "one text of some words", "en"), (2, "one text of some words", "en"), (3, "", "en"), (4, None, None), (None, "a row without id", None), (5, "quite another", None)]
+    for name, labels in (("b", []), ("c", [(1, 1), (5, 1)])):
+        out = cp.run(spark, tables(tmp_path / name, rows, labels)).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 4), (1, 5), (5, 2)]
