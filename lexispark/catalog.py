@@ -2,7 +2,7 @@
 
 The queries read the driver's tables whole. They use the identity-stemming
 profile ``zh``, whose analysis of Latin text is plain SQL, so each can be held
-against the same computation in another engine.
+against the same computation in another engine. Indexes come from the build that users call.
 """
 
 from __future__ import annotations
@@ -74,26 +74,12 @@ TITLED = FIELDS | {"title": FieldDef(True, False, 3.0)}
 
 
 def light_index(docs: DataFrame, fields: dict[str, FieldDef], synonyms: dict | None = None, max_edits: int = 0) -> LexicalIndex:
-    """The tables that queries here need, without validation and content hashes."""
-    spark = docs.sparkSession
-    have = set(docs.columns)
-    for n, kind in (("boost", "double"), ("external_id", "string"), ("metadata", "string"), ("facets", "map<string,array<string>>"), ("range_facets", "map<string,double>"), ("geo_facets", "map<string,struct<lat:double,lon:double>>"), ("pins", "array<struct<phrase:string,mode:string,priority:double,exclusive:boolean>>"), ("stored", "map<string,string>"), ("url", "string")):
-        if n not in have:
-            docs = docs.withColumn(n, F.lit(None).cast(kind))
-    tokens = ix.field_tokens(docs, fields, [LANG], normalise=False)
-    stats, means = ix.build_stats(docs, tokens)
-    ranges = docs.select("doc_id", F.explode("range_facets").alias("field", "value")).select("field", "value", "doc_id")
-    geo = docs.select("doc_id", F.explode("geo_facets").alias("field", "p")).select("field", "p.lat", "p.lon", "doc_id")
-    rows = ix.facet_rows(docs).unionByName(ranges.select("field", F.lit("range").alias("type"), F.col("value").cast("string").alias("value"), "doc_id"))
-    store = docs.select("doc_id", "external_id", "url", "lang", "stored", "metadata", "boost", F.lit(None).cast("string").alias("content_hash"))
-    index = LexicalIndex(ix.build_postings(tokens), stats, means, store, rows, ranges, geo, ix.pin_rows(docs, [LANG], False), dict(fields), LANG, ix.synonym_rows(spark, {LANG: synonyms} if synonyms else None, False), max_edits=max_edits, normalise=False)
-    if max_edits:
-        index.deletions = ix.deletion_rows(index.terms, max_edits)
-    return index
+    """The product's build, with validation and normalisation, for documents of LANG."""
+    return ix.build_documents(docs, fields, LANG, synonyms={LANG: synonyms} if synonyms else None, fuzzy=max_edits > 0, max_edits=max_edits or 1)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.terms(F.col("text"), PROFILE, normalise=False).alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.terms(F.col("text"), PROFILE).alias("terms"))
 
 
 def ranked(s: Searcher, q: str, limit: int = 10, candidates: DataFrame | None = None, **o) -> DataFrame:
@@ -152,14 +138,14 @@ def tokenize_counts(spark, sf_dir):
 
 @query(f"WITH {_TOK} SELECT doc_id, (u.p - 1)::INTEGER AS position, ts[u.p] AS term FROM tok, LATERAL (SELECT unnest(generate_series(1, len(ts))) AS p) u")
 def token_positions(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"), PROFILE, normalise=False)).alias("t"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"), PROFILE)).alias("t"))
     return t.select("doc_id", "t.position", "t.term")
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))::INTEGER AS n_words, (len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) - len(" + words_sql("text") + "))::INTEGER AS n_stopwords FROM documents")
 def stopword_filtered_counts(spark, sf_dir):
     t = F.col("text")
-    n, kept = F.size(text.words(t, PROFILE)), F.size(text.literals(t, PROFILE, normalise=False))
+    n, kept = F.size(text.words(t, PROFILE)), F.size(text.literals(t, PROFILE))
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), (n - kept).alias("n_stopwords"))
 
 
@@ -301,10 +287,16 @@ def range_filter(spark, sf_dir):
     return fl.docs_of(light_index(documents(spark, sf_dir), FIELDS), "n_chars", "range", {"min": 500, "max": 1500})
 
 
-@query("WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT least(floor((p_retailprice - lo) / ((hi - lo) / 5)), 4)::INTEGER AS bucket, count(*) AS count, round(min(lo), 6) AS lo FROM part, e GROUP BY 1")
+def label_sql(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN {x}::BIGINT::VARCHAR ELSE {x}::VARCHAR END"
+
+
+@query(f"""WITH e AS (SELECT min(p_retailprice)::DOUBLE AS lo, (max(p_retailprice) - min(p_retailprice))::DOUBLE / 5 AS w FROM part),
+b AS (SELECT p_partkey, least(floor((p_retailprice - lo) / w), 4)::INTEGER AS i, lo, w FROM part, e), l AS (SELECT p_partkey, i, round(lo + i * w, 2) AS a, round(lo + (i + 1) * w, 2) AS z FROM b)
+SELECT p_partkey, CASE WHEN i = 4 THEN {label_sql('a')} || '+' ELSE {label_sql('a')} || '-' || {label_sql('z')} END AS bucket FROM l""")
 def range_buckets_equal_width(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.lit("price").alias("field"), F.col("p_retailprice").alias("value"))
-    return ix.equal_width(rows, 5).groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.round(F.min("lo0"), 6).alias("lo"))
+    rows = table(spark, sf_dir, "part").select(F.lit("price").alias("field"), F.col("p_retailprice").cast("double").alias("value"), F.col("p_partkey").alias("doc_id"))
+    return ix.range_bucket_rows(rows, {})[0].select(F.col("doc_id").alias("p_partkey"), F.col("value").alias("bucket"))
 
 
 @query("SELECT CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 2000 THEN '500-2000' WHEN n_chars < 5000 THEN '2000-5000' ELSE '5000+' END AS label, count(*) AS count FROM documents GROUP BY 1")
@@ -378,31 +370,26 @@ def multiword_synonym_phrase(spark, sf_dir):
     return ranked(s, '"he er"', synonyms=True)
 
 
-_ASCII = "SELECT DISTINCT p_brand_word AS term FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS p_brand_word FROM part) WHERE regexp_full_match(p_brand_word, '[a-z]+')"
+_WORDS = "SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part"
 
 
 def part_terms(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
-    return names.where(F.col("term").rlike("^[a-z]+$")).distinct().withColumn("lang", F.lit(LANG))
-
-
-@query(f"WITH t AS ({_ASCII}) SELECT DISTINCT term, term AS deletion FROM t UNION SELECT term, left(term, i - 1) || substr(term, i + 1) FROM (SELECT term, unnest(generate_series(1, length(term))) AS i FROM t)")
-def deletion_dictionary_k1(spark, sf_dir):
-    return ix.deletion_rows(part_terms(spark, sf_dir), 1).select("term", "deletion")
+    return names.distinct().withColumn("lang", F.lit(LANG))
 
 
-_ASCII_TERMS = "d AS (SELECT term FROM df WHERE regexp_full_match(term, '[a-z]+'))"
+def shorter_sql(source: str) -> str:
+    """(term, deletion) of all terms with up to one character left out."""
+    return f"SELECT term, term AS deletion FROM {source} UNION SELECT term, left(term, i - 1) || substr(term, i + 1) FROM (SELECT term, unnest(generate_series(1, length(term))) AS i FROM {source})"
 
 
-@query(f"WITH {_POST}, {_ASCII_TERMS} SELECT term, levenshtein(term, 'tionble')::INTEGER AS distance FROM d WHERE levenshtein(term, 'tionble') BETWEEN 1 AND 2")
-def fuzzy_expand(spark, sf_dir):
-    s = plain(spark, sf_dir, max_edits=2)
-    found = [(t, d) for t, d in s.fuzzy_terms(LANG, "tionble") if t.isascii() and t.isalpha()]
-    return spark.createDataFrame(found, "term string, distance int")
+@query(f"WITH t AS ({_WORDS}) {shorter_sql('t')}")
+def deletion_dictionary_k1(spark, sf_dir):
+    return ix.deletion_rows(part_terms(spark, sf_dir), 1).select("term", "deletion")
 
 
 @query()
-def fuzzy_expand_all(spark, sf_dir):
+def fuzzy_expand(spark, sf_dir):
     """Every term within the edits, digits and accents included; DuckDB's levenshtein counts bytes, so it can't follow."""
     found = plain(spark, sf_dir, max_edits=2).fuzzy_terms(LANG, "tionble")
     return spark.createDataFrame(found, "term string, distance int")
@@ -413,11 +400,12 @@ def fuzzy_search(spark, sf_dir):
     return ranked(plain(spark, sf_dir, max_edits=1), "tionble", fuzzy=True)
 
 
-@query(f"WITH {_POST}, d AS (SELECT term, levenshtein(term, 'tionblex')::INTEGER AS distance FROM df WHERE regexp_full_match(term, '[a-z0-9]+')) SELECT term, distance FROM d WHERE distance <= 1 ORDER BY distance, term LIMIT 3")
+@query(f"""WITH {_POST}, x AS ({shorter_sql('df')}), a AS (SELECT 'eorntion' AS term), q AS ({shorter_sql('a')}),
+met AS (SELECT DISTINCT x.term FROM x JOIN q ON x.deletion = q.deletion) SELECT row_number() OVER (ORDER BY levenshtein(term, 'eorntion'), term)::INTEGER AS rank, term FROM met ORDER BY 1 LIMIT 3""")
 def did_you_mean(spark, sf_dir):
-    s = plain(spark, sf_dir, max_edits=1)
-    near = [(t, d) for t, d in s._met(LANG, "tionblex") if d <= 1][:3]
-    return spark.createDataFrame(near, "term string, distance int")
+    """What a result without hits suggests for a word that no term is near enough to."""
+    found = plain(spark, sf_dir, max_edits=1).search("eorntion", Options(fuzzy=True)).did_you_mean or []
+    return spark.createDataFrame([(k + 1, t) for k, t in enumerate(found)], "rank int, term string")
 
 
 def pinned_documents(spark, sf_dir, mode: str = "exact", exclusive: bool = False):
@@ -459,7 +447,7 @@ def pin_exclusive(spark, sf_dir):
 
 @query("SELECT 'tionble he' AS phrase, count(*) AS docs FROM documents WHERE doc_id % 100 = 0 HAVING count(*) > 1")
 def pin_conflicts(spark, sf_dir):
-    return ix.pin_conflicts(ix.pin_rows(pinned_documents(spark, sf_dir).withColumn("boost", F.lit(1.0)), [LANG], False)).select("phrase", "docs")
+    return ix.pin_conflicts(ix.pin_rows(pinned_documents(spark, sf_dir).withColumn("boost", F.lit(1.0)))).select("phrase", "docs")
 
 
 @query(f"WITH {_SC}, {_PINS}, o AS (SELECT doc_id FROM sc WHERE term = 'tionble' AND doc_id IN (SELECT doc_id FROM sc WHERE term = 'he')) SELECT count(*) AS total_hits FROM (SELECT doc_id FROM o UNION SELECT doc_id FROM pin WHERE k <= 10)")
@@ -485,9 +473,58 @@ def detect_language_confusion(spark, sf_dir):
     return d.groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, (length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')))::INTEGER AS letters, 0 AS thai FROM documents")
+_AZ = "abcdefghijklmnopqrstuvwxyz"
+_MIXED = "東京都検索日本語かなカナひらイロกขคงจຂຄງកខគab"  # letters of five scripts
+_HAN = "一丁七三上下不世中主久之九也二五井人今他以休会伝何作"
+_THAI = "กขคฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผ"
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _AZ)
+
+
+def in_script(to: str) -> Column:
+    """The texts with other letters in place of a to z."""
+    return F.translate(F.lower("text"), _AZ, to)
+
+
+_OTHER = f"x AS (SELECT doc_id, translate(lower(text), '{_AZ}', '{{}}') AS t FROM documents)"
+
+
+def count_sql(cls: str) -> str:
+    return f"(length(t) - length(regexp_replace(t, '{cls}', '', 'g')))::INTEGER"
+
+
+@query("WITH " + _OTHER.format(_MIXED) + f" SELECT doc_id, {count_sql(chr(92) + 'p{L}')} AS letters, {count_sql('[㐀-䶿一-鿿]')} AS han, {count_sql('[ぁ-ゖァ-ヺ]')} AS kana, {count_sql('[ก-ะ]')} AS thai, {count_sql('[ກ-ຮ]')} AS lao, {count_sql('[ក-អ]')} AS khmer FROM x")
 def script_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.script_counts(F.col("text")).alias("s")).select("doc_id", "s.letters", "s.thai")
+    return table(spark, sf_dir, "documents").select("doc_id", text.script_counts(in_script(_MIXED)).alias("s")).select("doc_id", "s.*")
+
+
+def grams_sql(to: str, cls: str, n: int) -> str:
+    """Runs of the script cut into n-grams, other words whole; counts by term."""
+    runs = f"regexp_extract_all(regexp_replace(t, '({cls}+)', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"WITH {_OTHER.format(to)}, r AS (SELECT unnest({runs}) AS w FROM x), g AS (SELECT unnest(CASE WHEN regexp_matches(w, '^{cls}') THEN list_transform(generate_series(1, greatest(length(w) - {n - 1}, 1)), lambda i: substr(w, i, {n})) ELSE [w] END) AS term FROM r) SELECT term, count(*) AS n FROM g WHERE NOT list_contains({_STOP}, term) GROUP BY term"
+
+
+def grams(spark, sf_dir, to: str, code: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.explode(text.terms(in_script(to), profiles.PROFILES[code])).alias("term"))
+    return d.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(grams_sql(_HAN, "[一-鿿]", 2))
+def cjk_bigrams(spark, sf_dir):
+    """All texts with Chinese characters in place of a to z."""
+    return grams(spark, sf_dir, _HAN, "ja")
+
+
+@query(grams_sql(_THAI, "[ก-ะ]", 3))
+def sea_trigrams(spark, sf_dir):
+    """All texts with Thai letters in place of a to z."""
+    return grams(spark, sf_dir, _THAI, "km")
+
+
+@query(f"WITH {_TOK} SELECT doc_id, len(ts)::INTEGER AS n_terms, array_to_string(ts, ' ') AS phrase FROM tok")
+def nfkc_terms(spark, sf_dir):
+    """Texts with full-width letters in place of a to z are the same terms once normalised."""
+    t = text.terms(in_script(_WIDE), PROFILE)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_terms"), F.array_join(t, " ").alias("phrase"))
 
 
 @query("WITH b AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS b FROM documents) SELECT doc_id, CASE WHEN length(b) <= 200 THEN b ELSE rtrim(left(b, 200)) || '…' END AS excerpt FROM b")
@@ -529,15 +566,12 @@ def get_documents_ordered(spark, sf_dir):
     return spark.createDataFrame([(p, h.id, h.url) for p, h in zip(known, hits)], "pos int, doc_id long, url string")
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?i)\\b(the|of)\\b', '[\\1]', 'g') AS marked FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def highlight_marked(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return d.select("doc_id", marked(F.col("text"), ["the", "of"]).alias("marked"))
+# a border is any other character; a second pass finds words that share one with a word of the first
+_MARK = "regexp_replace({}, '(?i)(^|[^\\p{{L}}\\p{{N}}_\ue000])(the|of)($|[^\\p{{L}}\\p{{N}}_])', '\\1\ue000\\2\ue001\\3', 'g')"
 
 
-@query()
-def highlight_marked_all(spark, sf_dir):
-    """All documents; DuckDB's word borders are ASCII only, so it can't follow."""
+@query(f"SELECT doc_id, replace(replace({_MARK.format(_MARK.format('text'))}, '\ue000', '['), '\ue001', ']') AS marked FROM documents")
+def highlight_marked(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", marked(F.col("text"), ["the", "of"]).alias("marked"))
 
 
@@ -594,32 +628,28 @@ def html_body_extract(spark, sf_dir):
 
 @query()
 def sections(spark, sf_dir):
-    return page_source.prepare(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"), sections=("h1", "h2"), mode="page-and-sections").select("doc_id", "url", "lang")
+    p = page_source.prepare(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"), sections=("h1", "h2"), mode="page-and-sections")
+    return p.select("doc_id", "url", "lang", F.col("indexed")["title"].alias("title"), F.col("indexed")["body"].alias("body"), F.col("stored")["excerpt"].alias("excerpt"))
 
 
-def _stemmed(code: str, source: str):
+def _stemmed(code: str):
     def run(spark, sf_dir):
-        d = table(spark, sf_dir, "documents").where(F.col("lang") == source)
-        return d.select("doc_id", F.size(F.array_distinct(text.terms(F.col("text"), profiles.PROFILES[code]))).alias("n_stems"))
+        """(word, stem) of every word of the documents, whatever their language."""
+        words = table(spark, sf_dir, "documents").select(F.explode(text.latin_words(F.lower("text"))).alias("word")).distinct()
+        return words.select("word", text.stems(F.array("word"), profiles.PROFILES[code])[0].alias("stem"))
 
     run.__name__ = f"stem_{code}"
     return query()(run)
 
 
-for _code, _source in (("en", "en"), ("de", "de"), ("sv", "de"), ("nl", "de"), ("nb", "de")):
-    _stemmed(_code, _source)
-
-
-@query()
-def cjk_bigrams(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "東京タワー and 検索エンジン x"), (2, "日"), (3, "")], "doc_id long, text string")
-    return rows.select("doc_id", F.posexplode(text.terms(F.col("text"), PROFILE)).alias("position", "term"))
+for _code in ("en", "de", "sv", "nl", "nb"):
+    _stemmed(_code)
 
 
 @query()
 def highlight_spans_query(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(highlight_spans(F.col("text"), [("the", False), ("tion", True)])).alias("n_spans"))
+    return d.select("doc_id", highlight_spans(F.col("text"), [("the", False), ("tion", True)]).alias("spans"))
 
 
 @query()
@@ -628,12 +658,26 @@ def search_stream_passes(spark, sf_dir):
     return passes(spark, s.stream("tionble", Options(fuzzy=True)))
 
 
+def _built(d: DataFrame) -> DataFrame:
+    d = d.select("doc_id", "lang", F.create_map(F.lit("body"), F.col("text")).alias("indexed"))
+    index = ix.build_documents(d, {"body": FieldDef()}, on_unsupported_language="fallback")
+    return index.postings.select("lang", "term", "doc_id", "df", F.inline("fields")).select("lang", "term", "doc_id", "df", "tf", "len")
+
+
 @query()
 def build_index(spark, sf_dir):
-    """The whole build with stemming, other languages by the fallback: postings by language."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.create_map(F.lit("body"), F.col("text")).alias("indexed"))
-    index = ix.build_documents(d, {"body": FieldDef()}, on_unsupported_language="fallback")
-    return index.postings.groupBy("lang").agg(F.count(F.lit(1)).alias("n_postings"))
+    """The whole build with stemming, other languages by the fallback."""
+    return _built(table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'zh' WHEN 'de' THEN 'ja' ELSE lang END AS lang, {words_sql('text')} AS few, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS every FROM documents),
+k AS (SELECT doc_id, lang, CASE WHEN lang IN ('zh', 'ja') THEN few ELSE every END AS ts FROM t), u AS (SELECT doc_id, lang, len(ts) AS len, unnest(ts) AS term FROM k),
+p AS (SELECT lang, term, doc_id, len, count(*) AS tf FROM u GROUP BY ALL)
+SELECT lang, term, doc_id, count(*) OVER (PARTITION BY lang, term) AS df, tf::INTEGER AS tf, len::INTEGER AS len FROM p""")
+def build_index_languages(spark, sf_dir):
+    """The build over several languages at once; those with stems are called by codes without, which SQL can follow."""
+    lang = F.when(F.col("lang") == "en", "zh").when(F.col("lang") == "de", "ja").otherwise(F.col("lang"))
+    return _built(table(spark, sf_dir, "documents").withColumn("lang", lang))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

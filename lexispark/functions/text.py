@@ -67,8 +67,8 @@ def literals(text: Column, profile: Profile, normalise: bool = True) -> Column:
     if normalise:
         text = nfkc(text)
     lowered = F.transform(words(text, profile), F.lower)
-    stop = F.array(*[F.lit(w) for w in sorted(profile.stopwords)])
-    return F.filter(lowered, lambda w: ~F.array_contains(stop, w))
+    stop = sorted(profile.stopwords)
+    return F.filter(lowered, lambda w: ~w.isin(*stop)) if stop else lowered
 
 
 def stems(words_: Column, profile: Profile) -> Column:

@@ -7,31 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.profiles import Profile
+from ..plans.scratch import sendable
 from .score import posting_score
 from .search import Searcher
 
-#: Query terms up to this many are sent to all tasks, and joined by a shuffle beyond.
-BROADCAST_TERMS = 1_000_000
+#: Up to so many first characters of query terms prune the postings' partitions.
+MOST_LETTERS = 1000
 
 
 def batch_search(searcher: Searcher, queries: DataFrame, profile: Profile, limit: int = 10, operator: str = "and", decimals: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best documents of each (query_id, text).
 
-    Bare terms only. One join of the query terms with the postings, one
-    aggregation by query and document, one ranking by query.
+    Bare terms only. Postings of other terms go before anything is computed; one
+    join of the query terms with the scored rest, one aggregation by query and
+    document, one ranking by query. A document's clauses add up in the order of
+    their terms, whatever the order of rows.
     """
     index = searcher.index
     lang = profile.code
-    asked = queries.select("query_id", F.array_distinct(text.terms(F.col("text"), profile, index.normalise)).alias("terms")).withColumn("n", F.size("terms"))
-    asked = asked.select("query_id", "n", F.explode("terms").alias("term"))
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
+    terms = queries.select("query_id", F.array_distinct(text.terms(F.col("text"), profile, index.normalise)).alias("terms"))
+    asked = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    wanted = asked.select("term").distinct()
+    rows = index.postings.where(F.col("lang") == lang)
+    letters = [r[0] for r in wanted.select(F.substring("term", 1, 1)).distinct().limit(MOST_LETTERS + 1).collect()]
+    if len(letters) <= MOST_LETTERS:
+        rows = rows.where(F.col("prefix1").isin(*letters) if letters else F.lit(False))
     boosts = {k: f.boost for k, f in index.fields.items()}
     # a posting is scored once, however many queries ask for its term
-    scored = index.postings.where(F.col("lang") == lang).select("term", "doc_id", (posting_score(F.col("fields"), F.col("df"), searcher.counts.get(lang, 0), searcher.means.get(lang, {}), boosts) * F.coalesce("boost", F.lit(1.0))).alias("s"))
-    hits = scored.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
+    found = rows.join(sendable(wanted, F.octet_length("term")), "term", "left_semi")
+    scored = found.select("term", "doc_id", (posting_score(F.col("fields"), F.col("df"), searcher.counts.get(lang, 0), searcher.means.get(lang, {}), boosts) * F.coalesce("boost", F.lit(1.0))).alias("s"))
+    hits = scored.join(sendable(asked, F.octet_length("term")), "term").groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "s"))).alias("cs"), F.max("n").alias("n"))
     if operator == "and":
-        hits = hits.where("met = n")
-    if decimals is not None:
-        hits = hits.withColumn("score", F.round("score", decimals))
+        hits = hits.where(F.size("cs") == F.col("n"))
+    score = F.aggregate("cs", F.lit(0.0), lambda a, c: a + c["s"])
+    hits = hits.select("query_id", "doc_id", (score if decimals is None else F.round(score, decimals)).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "doc_id", "score", "rank")

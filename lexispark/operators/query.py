@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 
+from ..functions.analysis import analyze
 from ..functions.profiles import Profile
 
-_SCRIPT = {"cjk": ("぀-ヿ㐀-䶿一-鿿", 2), "sea": ("฀-໿ក-៿", 3)}
-
-
 @dataclass(frozen=True)
 class Term:
     term: str
@@ -29,23 +26,6 @@ class Query:
         return not self.terms and not self.phrases
 
 
-def analyze(text: str, profile: Profile) -> list[tuple[str, str]]:
-    """(term, literal) of each word that is no stopword: on the driver, for queries."""
-    text = unicodedata.normalize("NFKC", text)
-    found: list[str] = []
-    if profile.segment == "latin":
-        found = re.findall(r"[^\W_]+", text)
-    else:
-        cls, n = _SCRIPT[profile.segment]
-        for run in re.findall(rf"[{cls}]+|(?:(?![{cls}])[^\W_])+", text):
-            if re.match(f"[{cls}]", run):
-                found += [run[i : i + n] for i in range(max(1, len(run) - n + 1))]
-            else:
-                found.append(run)
-    lowered = (w.lower() for w in found)
-    return [(profile.stem(w) if profile.stem else w, w) for w in lowered if w not in profile.stopwords]
-
-
 def parse(text: str, profile: Profile) -> Query:
     """``word``, ``prefix*`` and ``"a phrase"``. A phrase's words are never
     prefixes; a term asked twice counts once."""

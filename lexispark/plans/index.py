@@ -7,11 +7,18 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import profiles, text
+from ..functions.analysis import joined_terms
 from ..functions.canonical import content_hash
+from .invert import invert
+from .scratch import drop, sendable, stored
+
+#: Terms of more documents than this are joined with their frequency without moving their postings.
+HOT_POSTINGS = 100_000
 
 DOC_SCHEMA = (
     "doc_id long, external_id string, url string, lang string, indexed map<string,string>, stored map<string,string>, metadata string, boost double, "
@@ -48,10 +55,18 @@ class LexicalIndex:
     max_edits: int = 0
     deletions: DataFrame | None = None  # lang, deletion, term
     normalise: bool = True
+    dictionary: DataFrame | None = None  # lang, term, df
+    scratch: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Delete the tables a build wrote to the shared folder; the index is of no use after it, what was saved is."""
+        drop(*self.scratch)
 
     @property
     def terms(self) -> DataFrame:
         """(lang, term, df)."""
+        if self.dictionary is not None:
+            return self.dictionary
         return self.postings.groupBy("lang", "term").agg(F.max("df").alias("df"))
 
     def cache(self) -> LexicalIndex:
@@ -142,36 +157,29 @@ def languages(docs: DataFrame) -> list[str]:
     return sorted(r[0] for r in docs.select("lang").distinct().collect())
 
 
-def field_tokens(docs: DataFrame, fields: dict[str, FieldDef], langs: Iterable[str], normalise: bool = True, fallback: bool = False) -> DataFrame:
-    """(lang, doc_id, boost, field, terms): the terms of each indexed field, in order."""
-    names = F.array(*[F.lit(n) for n, f in fields.items() if f.indexed])
-    flat = docs.select("lang", "doc_id", F.coalesce("boost", F.lit(1.0)).alias("boost"), F.explode("indexed").alias("field", "text")).where(F.array_contains(names, F.col("field")) & F.col("text").isNotNull())
-    out = None
-    for code in langs:
-        # one profile a language; each branch reads only its own rows
-        part = flat.where(F.col("lang") == code).select("lang", "doc_id", "boost", "field", text.terms(F.col("text"), profiles.profile(code, fallback), normalise).alias("terms"))
-        out = part if out is None else out.unionByName(part)
-    return flat.select("lang", "doc_id", "boost", "field", F.array().cast("array<string>").alias("terms")).limit(0) if out is None else out
-
-
-def build_postings(tokens: DataFrame) -> DataFrame:
-    """One row a language, term and document. Rows are dealt once, by (lang, term,
-    doc), which serves both groupings; the document frequency is joined on."""
-    flat = tokens.select("lang", "doc_id", "boost", "field", F.size("terms").alias("len"), F.posexplode("terms").alias("pos", "term"))
-    dealt = flat.repartition("lang", "term", "doc_id")
-    by_field = dealt.groupBy("lang", "term", "doc_id", "boost", "field", "len").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
-    one = by_field.groupBy("lang", "term", "doc_id", "boost").agg(
-        F.array_sort(F.collect_list(F.struct("field", F.size("pos").alias("tf"), "pos", "len"))).alias("fields")
-    )
-    # documents that hold the term in any field: two light groupings of the tokens
-    df = tokens.select("lang", "doc_id", F.explode(F.array_distinct("terms")).alias("term")).distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
-    return one.join(df, ["lang", "term"]).withColumn("prefix1", F.substring("term", 1, 1))
-
-
-def build_stats(docs: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_postings(inverted: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """One row a language, term and document, with the term's document frequency.
+
+    A dictionary of a few megabytes is sent to all tasks and no posting moves. A larger
+    one is joined by term, but for the terms of more than HOT_POSTINGS documents:
+    those are few, are sent to all tasks, and none of their postings moves.
+    """
+    width = F.octet_length("term") + F.octet_length("lang")
+    sent = sendable(dictionary, width)
+    if sent is not dictionary:
+        joined = inverted.join(sent, ["lang", "term"])
+    else:
+        hot = sendable(dictionary.where(F.col("df") > HOT_POSTINGS), width)
+        rest = inverted.join(hot.select("lang", "term"), ["lang", "term"], "left_anti")
+        joined = inverted.join(hot, ["lang", "term"]).unionByName(rest.join(dictionary.where(F.col("df") <= HOT_POSTINGS), ["lang", "term"]))
+    return joined.select("lang", "term", "doc_id", "boost", "fields", "df", F.substring("term", 1, 1).alias("prefix1"))
+
+
+def build_stats(docs: DataFrame, inverted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of each language; mean field lengths over all of them, also those without the field."""
     stats = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("doc_count"))
-    lengths = tokens.groupBy("lang", "field").agg(F.sum(F.size("terms")).alias("total"))
+    parts = inverted.select("lang", F.explode(F.arrays_zip(F.col("fields.field").alias("field"), F.col("fields.tf").alias("tf"))).alias("f"))
+    lengths = parts.groupBy("lang", F.col("f.field").alias("field")).agg(F.sum("f.tf").alias("total"))
     return stats, lengths.join(stats, "lang").select("lang", "field", (F.col("total") / F.col("doc_count")).alias("avg_len"))
 
 
@@ -192,16 +200,6 @@ def bound_label(x: float) -> str:
     return str(int(x)) if x == int(x) else str(x)
 
 
-def equal_width(rows: DataFrame, n: int, value: str = "value", key: str = "field") -> DataFrame:
-    """Rows with ``bucket`` (0 ..) and ``lo`` and ``hi``: ``n`` equal ranges between
-    the least and the greatest value of each key, or one where they are equal."""
-    ends = rows.groupBy(key).agg(F.min(value).alias("lo0"), F.max(value).alias("hi0"))
-    width = (F.col("hi0") - F.col("lo0")) / n
-    joined = rows.join(F.broadcast(ends), key)  # a row a facet field
-    bucket = F.when(F.col("hi0") == F.col("lo0"), F.lit(0)).otherwise(F.least(F.floor((F.col(value) - F.col("lo0")) / width), F.lit(n - 1))).cast("int")
-    return joined.withColumn("bucket", bucket).withColumn("lo", F.col("lo0") + F.col("bucket") * width).withColumn("hi", F.col("lo0") + (F.col("bucket") + 1) * width)
-
-
 def explicit_bucket(value: Column, bounds: list[float]) -> Column:
     """Label of the half-open range that holds the value."""
     labels = ["<" + bound_label(bounds[0])] + [f"{bound_label(a)}-{bound_label(b)}" for a, b in zip(bounds, bounds[1:])] + [bound_label(bounds[-1]) + "+"]
@@ -232,16 +230,16 @@ def range_bucket_rows(ranges: DataFrame, buckets: dict[str, int | list[float]],
     return ranges.select("field", F.lit("range").alias("type"), label.alias("value"), "doc_id"), order
 
 
-def pin_rows(docs: DataFrame, langs: Iterable[str], normalise: bool = True, fallback: bool = False) -> DataFrame:
+def pin_rows(docs: DataFrame, normalise: bool = True, fallback: bool = False) -> DataFrame:
     """(lang, phrase, mode, doc_id, priority, exclusive, ord): a phrase's documents by
     falling priority, then boost, then id; the first declaration's mode is the phrase's."""
+
+    @F.pandas_udf("string")
+    def phrase(raw: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else joined_terms(r, profiles.profile(code, fallback), normalise) for r, code in zip(raw, lang)], dtype=object)
+
     flat = docs.select("lang", "doc_id", F.coalesce("boost", F.lit(1.0)).alias("boost"), F.posexplode("pins").alias("n", "p"))
-    out = None
-    for code in langs:
-        part = flat.where(F.col("lang") == code).withColumn("phrase", text.normalize_phrase(F.col("p.phrase"), profiles.profile(code, fallback), normalise))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = flat.withColumn("phrase", F.col("p.phrase")).limit(0)
+    out = flat.withColumn("phrase", phrase(F.col("p.phrase"), F.col("lang")))
     once = Window.partitionBy("lang", "phrase", "doc_id").orderBy("n")
     by = Window.partitionBy("lang", "phrase")
     rows = out.where("phrase <> ''").withColumn("k", F.row_number().over(once)).withColumn("mode", F.min_by("p.mode", F.struct("doc_id", "n")).over(by)).where("k = 1")
@@ -254,23 +252,15 @@ def pin_conflicts(pins: DataFrame) -> DataFrame:
     return pins.groupBy("lang", "phrase").agg(F.count_distinct("doc_id").alias("docs")).where("docs > 1")
 
 
-def normalize_local(spark: SparkSession, strings: Iterable[str], profile: profiles.Profile, normalise: bool = True) -> dict[str, str]:
-    """normalize_phrase of a few strings."""
-    strings = sorted(set(strings))
-    if not strings:
-        return {}
-    df = spark.createDataFrame([(s,) for s in strings], "s string")
-    return {r[0]: r[1] for r in df.select("s", text.normalize_phrase(F.col("s"), profile, normalise)).collect()}
-
-
-def synonym_rows(spark: SparkSession, config: dict | None, normalise: bool = True, fallback: bool = False) -> list[tuple[str, str, str, str]]:
+def synonym_rows(config: dict | None, normalise: bool = True, fallback: bool = False) -> list[tuple[str, str, str, str]]:
     """(lang, kind, key, variant) of a configuration {lang: {equivalences, directional, multiWord}}."""
     out = []
     for lang, part in sorted((config or {}).items()):
         groups = [("equivalence", g) for g in part.get("equivalences", [])] + [("phrase", g) for g in part.get("multiWord", [])]
         directional = part.get("directional", {})
         every = [s for _, g in groups for s in g] + list(directional) + [s for v in directional.values() for s in v]
-        norm = normalize_local(spark, every, profiles.profile(lang, fallback), normalise)
+        profile = profiles.profile(lang, fallback)
+        norm = {x: joined_terms(x, profile, normalise) for x in every}
         for kind, g in groups:
             members = list(dict.fromkeys(norm[s] for s in g if norm[s]))
             out += [(lang, kind, a, b) for a in members for b in members if a != b]
@@ -312,8 +302,10 @@ def build_documents(
     langs = languages(docs)
     for code in langs:
         profiles.profile(code, fallback)
-    tokens = field_tokens(docs, fields, langs, normalise, fallback)
-    stats, field_stats = build_stats(docs, tokens)
+    # every later table comes from this one: texts are read and analysed once
+    inverted = stored(invert(docs, [k for k, f in fields.items() if f.indexed], langs, normalise, fallback), "inverted")
+    dictionary = stored(inverted.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df")), "dictionary")
+    stats, field_stats = build_stats(docs, inverted)
     ranges = docs.select("doc_id", F.explode("range_facets").alias("field", "value")).select("field", "value", "doc_id")
     bucket_rows, order = range_bucket_rows(ranges, buckets or {})
     # the first kind declared for a field's name holds: terms, then range, then geo
@@ -322,12 +314,12 @@ def build_documents(
     ranges, bucket_rows = (x.join(named, "field", "left_anti") for x in (ranges, bucket_rows))
     geo = docs.select("doc_id", F.explode("geo_facets").alias("field", "p")).select("field", "p.lat", "p.lon", "doc_id")
     geo = geo.join(named, "field", "left_anti").join(ranges.select("field").distinct(), "field", "left_anti")
-    postings = build_postings(tokens)
+    postings = build_postings(inverted, dictionary)
     store = docs.select("doc_id", "external_id", "url", "lang", "stored", "metadata", "boost", content_hash(F.col("indexed"), F.col("stored"), F.col("metadata"), F.col("lang"), F.coalesce("boost", F.lit(1.0))).alias("content_hash"))
     index = LexicalIndex(
         postings, stats, field_stats, store, values.select("field", "type", "value", "doc_id").unionByName(bucket_rows), ranges, geo,
-        pin_rows(docs, langs, normalise, fallback), dict(fields), default_language, synonym_rows(spark, synonyms, normalise, fallback),
-        dict(hierarchical or {}), order, max_edits if fuzzy else 0, normalise=normalise,
+        pin_rows(docs, normalise, fallback), dict(fields), default_language, synonym_rows(synonyms, normalise, fallback),
+        dict(hierarchical or {}), order, max_edits if fuzzy else 0, normalise=normalise, dictionary=dictionary, scratch=(inverted, dictionary),
     )
     if fuzzy:
         index.deletions = deletion_rows(index.terms, max_edits)

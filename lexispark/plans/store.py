@@ -17,10 +17,11 @@ def save(index: LexicalIndex, path: str) -> None:
     """Write all tables below ``path``, the manifest last.
 
     Postings are partitioned by (lang, prefix1) and sorted by term within files,
-    so that a query reads the row groups of its terms only; the rest is ranged
-    by document or field.
+    so that a query reads the row groups of its terms only; the ranges end in the
+    document's id, so the postings of one frequent term are dealt among tasks. The
+    rest is ranged by document or field.
     """
-    index.postings.repartitionByRange("lang", "prefix1", "term").sortWithinPartitions("lang", "prefix1", "term", "doc_id").write.mode("overwrite").partitionBy("lang", "prefix1").parquet(f"{path}/postings")
+    index.postings.repartitionByRange("lang", "prefix1", "term", "doc_id").sortWithinPartitions("lang", "prefix1", "term", "doc_id").write.mode("overwrite").partitionBy("lang", "prefix1").parquet(f"{path}/postings")
     index.doc_store.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/doc_store")
     for name in TABLES:
         df = getattr(index, name)
