@@ -1,4 +1,4 @@
-"""Analysis of single short texts in Python: queries, pin phrases, synonyms."""
+"""Analysis of texts in Python, for workers that build postings and for single queries."""
 
 from __future__ import annotations
 
@@ -7,24 +7,30 @@ import unicodedata
 
 from .profiles import Profile
 
-_SCRIPT = {"cjk": ("぀-ヿ㐀-䶿一-鿿", 2), "sea": ("฀-໿ក-៿", 3)}
+_LATIN = re.compile(r"[^\W_]+")
+# for a script: its runs and other words, what a run begins with, the length of its grams
+_SCRIPT = {k: (re.compile(rf"[{c}]+|(?:(?![{c}])[^\W_])+"), re.compile(f"[{c}]"), n) for k, c, n in (("cjk", "぀-ヿ㐀-䶿一-鿿", 2), ("sea", "฀-໿ក-៿", 3))}
+
+
+def cut(text: str, segment: str) -> list[str]:
+    """Words of a text by a profile's segmentation."""
+    if segment == "latin":
+        return _LATIN.findall(text)
+    split, cls, n = _SCRIPT[segment]
+    found: list[str] = []
+    for run in split.findall(text):
+        if cls.match(run):
+            found += [run[i : i + n] for i in range(max(1, len(run) - n + 1))]
+        else:
+            found.append(run)
+    return found
 
 
 def analyze(text: str, profile: Profile, normalise: bool = True) -> list[tuple[str, str]]:
     """(term, literal) of each word that is no stopword, by the rules of ``text.terms``."""
     if normalise:
         text = unicodedata.normalize("NFKC", text)
-    found: list[str] = []
-    if profile.segment == "latin":
-        found = re.findall(r"[^\W_]+", text)
-    else:
-        cls, n = _SCRIPT[profile.segment]
-        for run in re.findall(rf"[{cls}]+|(?:(?![{cls}])[^\W_])+", text):
-            if re.match(f"[{cls}]", run):
-                found += [run[i : i + n] for i in range(max(1, len(run) - n + 1))]
-            else:
-                found.append(run)
-    lowered = (w.lower() for w in found)
+    lowered = (w.lower() for w in cut(text, profile.segment))
     return [(profile.stem(w) if profile.stem else w, w) for w in lowered if w not in profile.stopwords]
 
 

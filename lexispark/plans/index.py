@@ -123,11 +123,12 @@ def check_buckets(buckets: dict[str, int | list[float]] | None) -> None:
             raise ValueError(f"{name}: bounds must rise")
 
 
-def check_documents(docs: DataFrame, fields: dict[str, FieldDef]) -> None:
-    """One aggregate over the documents; the first broken rule is raised as ValueError."""
+def check_documents(docs: DataFrame, fields: dict[str, FieldDef]) -> list[str]:
+    """The languages, by one aggregate over the documents; the first broken rule is raised as ValueError."""
     known = [k for k, f in fields.items() if f.indexed], [k for k, f in fields.items() if f.stored]
     bad = lambda c, names: F.size(F.array_except(F.map_keys(c), F.array(*[F.lit(n) for n in names]).cast("array<string>"))) > 0
     found = docs.agg(
+        F.collect_set("lang").alias("langs"),
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("doc_id").alias("ids"),
         F.count("external_id").alias("ext"),
@@ -148,6 +149,7 @@ def check_documents(docs: DataFrame, fields: dict[str, FieldDef]) -> None:
     ):
         if wrong:
             raise ValueError(what)
+    return sorted(found["langs"])
 
 
 # --- building ---
@@ -297,9 +299,7 @@ def build_documents(
     wanted = spark.createDataFrame([], DOC_SCHEMA).schema
     docs = docs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
     docs = docs.withColumn("lang", F.coalesce("lang", F.lit(default_language)))
-    if validate:
-        check_documents(docs, fields)
-    langs = languages(docs)
+    langs = check_documents(docs, fields) if validate else languages(docs)
     for code in langs:
         profiles.profile(code, fallback)
     # every later table comes from this one: texts are read and analysed once

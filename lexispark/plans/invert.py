@@ -3,24 +3,29 @@ stemmed once a distinct word and grouped by sorting their codes, so no row is mo
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import profiles, text
+from ..functions import profiles
+from ..functions.analysis import cut
 
 POSTING = "lang string, term string, doc_id long, boost double, fields array<struct<field:string,tf:int,pos:array<int>,len:int>>"
 _FIELD = pa.struct([("field", pa.string()), ("tf", pa.int32()), ("pos", pa.list_(pa.int32())), ("len", pa.int32())])
 _OUT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("doc_id", pa.int64()), ("boost", pa.float64()), ("fields", pa.list_(_FIELD))])
 
-#: Batches are cut to about so many bytes of words, but for a longer single document.
+#: Batches are cut to about so many bytes of text, but for a longer single document.
 BATCH_BYTES = 4 << 20
 #: A worker forgets the stems it has met beyond so many.
 KEPT_STEMS = 500_000
+#: Characters of a text whose words are listed at once.
+PIECE = 1 << 20
+_BLANK = re.compile(r"\s")
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,38 +39,66 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start += n
 
 
+def _pieces(t: str) -> Iterator[str]:
+    """A text cut at blanks into pieces whose words fit in memory."""
+    start = 0
+    while len(t) - start > PIECE:
+        blank = _BLANK.search(t, start + PIECE)
+        if blank is None:
+            break
+        yield t[start : blank.start()]
+        start = blank.start()
+    yield t[start:]
+
+
 class Inverter:
-    """Of batches (lang, doc_id, boost, then the words of each field in ``fields``)
+    """Of batches (lang, doc_id, boost, then the text of each field in ``fields``)
     the postings, one row a document and term, fields by name."""
 
-    def __init__(self, fields: list[str], rules: dict[str, profiles.Profile]):
-        self.fields, self.rules = fields, rules
+    def __init__(self, fields: list[str], rules: dict[str, profiles.Profile], normalise: bool = True):
+        self.fields, self.rules, self.normalise = fields, rules, normalise
         self.known: dict[str, dict[str, str | None]] = {}
 
     def term(self, lang: str, word: str) -> str | None:
-        """Stem of a word, None for a stopword."""
+        """Stem of a word as written, None for a stopword."""
         known = self.known.setdefault(lang, {})
         if word not in known:
             if len(known) > KEPT_STEMS:
                 known.clear()
-            p = self.rules[lang]
-            known[word] = None if word in p.stopwords else p.stem(word) if p.stem else word
+            p, w = self.rules[lang], word.lower()
+            known[word] = None if w in p.stopwords else p.stem(w) if p.stem else w
         return known[word]
 
+    def coded(self, t: str | None, segment: str, ids: dict[str, int]) -> Iterator[np.ndarray]:
+        """Numbers of a text's words."""
+        if not t:
+            return
+        if self.normalise and not t.isascii():
+            t = unicodedata.normalize("NFKC", t)
+        for piece in _pieces(t):
+            yield np.array([ids.setdefault(w, len(ids)) for w in cut(piece, segment)], np.int64)
+
     def postings(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
         n = batch.num_rows
-        lists = [batch.column(3 + k) for k in range(len(self.fields))]
-        sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists]
-        words = pa.concat_arrays([c.flatten().cast(pa.string()) for c in lists]).dictionary_encode()
-        if not len(words):
+        lists = [batch.column(3 + k).to_pylist() for k in range(len(self.fields))]
+        langs = batch.column(0).dictionary_encode()
+        lang_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = langs.dictionary.to_pylist()
+        segments = [self.rules[names[c]].segment for c in lang_of.tolist()]
+        words: dict[str, int] = {}
+        codes, sizes = [], np.zeros((len(lists), n), np.int64)
+        for k, texts in enumerate(lists):
+            for i, t in enumerate(texts):
+                for found in self.coded(t, segments[i], words):
+                    codes.append(found)
+                    sizes[k, i] += len(found)
+        if not words:
             return None
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.concatenate(codes)
+        vocabulary = list(words)
         row = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
-        part = np.repeat(np.arange(len(lists)), [int(s.sum()) for s in sizes])
+        part = np.repeat(np.arange(len(lists)), sizes.sum(axis=1))
         # one look at each distinct word of each language
-        langs = batch.column(0).dictionary_encode()
-        lang_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        names, vocabulary = langs.dictionary.to_pylist(), words.dictionary.to_pylist()
         pairs, at = np.unique(lang_of[row] * len(vocabulary) + code, return_inverse=True)
         ids: dict[str, int] = {}
         of_pair = np.empty(len(pairs), np.int64)
@@ -118,28 +151,10 @@ class Inverter:
                 yield out
 
 
-def segmented(t: Column, lang: Column, rules: dict[str, profiles.Profile]) -> Column:
-    """Lower-cased words of a text by its language's segmentation, stopwords included."""
-    kinds: dict[str, list[str]] = {}
-    for code, p in sorted(rules.items()):
-        kinds.setdefault(p.segment, []).append(code)
-    common = "latin" if "latin" in kinds else next(iter(kinds), "latin")
-    latin = profiles.profile("", True)
-    out = F.transform(text.words(t, rules[kinds[common][0]] if common in kinds else latin), F.lower)
-    for kind, codes in kinds.items():
-        if kind != common:
-            out = F.when(lang.isin(*codes), F.transform(text.words(t, rules[codes[0]]), F.lower)).otherwise(out)
-    return out
-
-
 def invert(docs: DataFrame, fields: Iterable[str], langs: Iterable[str], normalise: bool = True, fallback: bool = False) -> DataFrame:
     """POSTING rows of documents (lang, doc_id, boost, indexed): one scan for all
-    languages, one Arrow pass for normalisation and one for the rest, no exchange."""
+    languages and one Arrow pass, which normalisation and stems need in any case; no exchange."""
     names = sorted(fields)
     rules = {code: profiles.profile(code, fallback) for code in langs}
-    raw = [F.col("indexed")[n].alias(f"t{i}") for i, n in enumerate(names)]
-    flat = docs.select("lang", "doc_id", F.coalesce("boost", F.lit(1.0)).alias("boost"), *raw)
-    if normalise:
-        flat = flat.select("lang", "doc_id", "boost", *[text.nfkc(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(names))])
-    lists = flat.select("lang", "doc_id", "boost", *[segmented(F.col(f"t{i}"), F.col("lang"), rules).alias(f"w{i}") for i in range(len(names))])
-    return lists.mapInArrow(Inverter(names, rules).run, POSTING)
+    flat = docs.select("lang", "doc_id", F.coalesce("boost", F.lit(1.0)).alias("boost"), *[F.col("indexed")[n].alias(f"t{i}") for i, n in enumerate(names)])
+    return flat.mapInArrow(Inverter(names, rules, normalise).run, POSTING)
