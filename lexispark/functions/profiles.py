@@ -36,12 +36,12 @@ PROFILES: dict[str, Profile] = {
 MARKERS: dict[str, frozenset[str]] = {
     code: frozenset(words.split())
     for code, words in {
-        "en": "on or be an by from have this are was as with for that in is to of and the",
-        "de": "sind auch im von zu ein einen eine dem den sich auf für mit nicht ist und das die der",
-        "sv": "detta också inte att är och",
-        "nl": "wij zijn niet van een het",
-        "nb": "hvem hvordan også hva jeg ikke",
-        "nn": "kven korleis òg kva eg ikkje",
+        "en": "an and are as be by for from have in is of on or that the this to was with",
+        "de": "auch auf das dem den der die ein eine einen für im ist mit nicht sich sind und von zu",
+        "sv": "att detta inte och också är",
+        "nl": "een het niet van wij zijn",
+        "nb": "hva hvem hvordan ikke jeg også",
+        "nn": "eg ikkje korleis kva kven òg",
     }.items()
 }
 

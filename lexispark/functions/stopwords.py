@@ -1,4 +1,5 @@
-"""Stopword sets by language, each ordered by length and last letters."""
+"""Stopword sets by language, in alphabetical order: those
+that indexes of the published form are built with, so that terms agree."""
 
 
 def _set(words: str) -> frozenset[str]:
@@ -7,60 +8,60 @@ def _set(words: str) -> frozenset[str]:
 
 ENGLISH = _set(
     """
-    a i be he me we if of an in on do no to or as is at it by did and she the are can who for was
-    not but you how such with tell will whom mean then when into does this that what they could
-    would there where these which their should please meaning
+    a an and are as at be but by can could did do does for he how i if in into is it me mean meaning
+    no not of on or please she should such tell that the their then there these they this to was we
+    what when where which who whom will with would you
     """
 )
 GERMAN = _set(
     """
-    da ob am im um an in so wo er es zu hab und die sie wie auf weg ich bei dem ihm vom zum man den
-    ihn bin ein hin von nun war der ihr mir wir vor nur zur für das was des bis als ins uns aus hat
-    mit ist daß sind wird habe jede alle jene ohne eine ihre eure nach mich sich doch noch auch euch
-    viel weil will soll kein mein sein dann kann wenn also zwar aber über oder hier euer sehr muss
-    dort bist werde würde keine meine seine diese hatte einig durch jedem indem allem jenem einem
-    ihrem eurem haben jeden gegen allen jenen ihnen einen waren ihren euren jeder ander aller jener
-    einer ihrer eurer unser unter etwas jedes alles jenes eines ihres eures nicht damit sonst warst
-    wirst jetzt einige welche solche manche andere unsere sollte wollte könnte musste einmal keinem
-    meinem seinem diesem anderm werden würden machen wollen keinen meinen seinen können diesen
-    hatten andern wieder keiner meiner seiner dieser weiter hinter anderr keines meines seines
-    dieses anders nichts selbst während einigem welchem solchem manchem anderem unserem einigen
-    welchen solchen manchen anderen unseren gewesen sondern einiger welcher solcher mancher anderer
-    einiges welches solches manches anderes unseres dieselbe derselbe zwischen dieselben demselben
-    derselben
+    aber alle allem allen aller alles als also am an ander andere anderem anderen anderer anderes
+    anderm andern anderr anders auch auf aus bei bin bis bist da damit dann das daß dem demselben
+    den der derselbe derselben des die diese dieselbe dieselben diesem diesen dieser dieses doch
+    dort durch ein eine einem einen einer eines einig einige einigem einigen einiger einiges einmal
+    er es etwas euch euer eure eurem euren eurer eures für gegen gewesen hab habe haben hat hatte
+    hatten hier hin hinter ich ihm ihn ihnen ihr ihre ihrem ihren ihrer ihres im in indem ins ist
+    jede jedem jeden jeder jedes jene jenem jenen jener jenes jetzt kann kein keine keinem keinen
+    keiner keines können könnte machen man manche manchem manchen mancher manches mein meine meinem
+    meinen meiner meines mich mir mit muss musste nach nicht nichts noch nun nur ob oder ohne sehr
+    sein seine seinem seinen seiner seines selbst sich sie sind so solche solchem solchen solcher
+    solches soll sollte sondern sonst um und uns unser unsere unserem unseren unseres unter viel vom
+    von vor war waren warst was weg weil weiter welche welchem welchen welcher welches wenn werde
+    werden wie wieder will wir wird wirst wo wollen wollte während würde würden zu zum zur zwar
+    zwischen über
     """
 )
 DUTCH = _set(
     """
-    t de te we ik om en in is heb die hoe mij wij ook aan van een als dat het met tot geen mijn zijn
-    maar hier over voor niet niets omdat worden hoeveel
+    aan als dat de die een en geen heb het hier hoe hoeveel ik in is maar met mij mijn niet niets om
+    omdat ook over t te tot van voor we wij worden zijn
     """
 )
 SWEDISH = _set(
     """
-    i ha de ni vi ej om en än er är ut åt du ju nu av då på så era vad med vid jag dig mig sig och
-    bli dem vem som han kan man den men din min sin hon upp har var hur där här när vår för oss det
-    mot ert att ett alla dina mina sina vara våra hade icke inte till inom utan från över blir hans
-    vars dess allt vart vårt ditt mitt blev vilka samma denna några dessa detta sitta kunde varje
-    henne honom sedan sådan ingen någon under eller efter deras varit något själv sådana skulle
-    mellan vilken varför vilkas hennes mycket vilket blivit sådant
+    alla allt att av blev bli blir blivit de dem den denna deras dess dessa det detta dig din dina
+    ditt du där då efter ej eller en er era ert ett från för ha hade han hans har henne hennes hon
+    honom hur här i icke ingen inom inte jag ju kan kunde man med mellan men mig min mina mitt mot
+    mycket ni nu när någon något några och om oss på samma sedan sig sin sina sitta själv skulle som
+    så sådan sådana sådant till under upp ut utan vad var vara varför varit varje vars vart vem vi
+    vid vilka vilkas vilken vilket vår våra vårt än är åt över
     """
 )
 NORWEGIAN = _set(
     """
-    i da ha og en er at et du av nå på så fra hva ved deg jeg meg seg til som han den men sin hun
-    var der for når hos det ikke alle sine dere skal hvem noen hver over hvor hvis ditt mitt selv
-    hadde denne deres hvilke skulle hvordan hvilken hvorfor hvilket hvorvidt
+    alle at av da deg den denne der dere deres det ditt du en er et for fra ha hadde han hos hun hva
+    hvem hver hvilke hvilken hvilket hvis hvor hvordan hvorfor hvorvidt i ikke jeg meg men mitt noen
+    nå når og over på seg selv sin sine skal skulle som så til var ved
     """
 )
 SHORT_ENGLISH = _set(
     """
-    a be if of in on no to or as is at it by and the are for was not but such with will then into
-    this that they there these their
+    a and are as at be but by for if in into is it no not of on or such that the their then there
+    these they this to was will with
     """
 )
 THAI = _set(
     """
-    ใน ไป จะ มา มี ก็ จาก ของ กัน การ และ ที่ ได้ ให้ ผู้ ซึ่ง เป็น ความ ด้วย
+    กัน การ ก็ ของ ความ จะ จาก ซึ่ง ด้วย ที่ ผู้ มา มี เป็น และ ใน ให้ ได้ ไป
     """
 )

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side up to so many bytes may be sent to every task; beyond it the join is a shuffle.
@@ -83,3 +83,18 @@ def fresh(name: str, *taken: DataFrame) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def running(rows: DataFrame, order: Column, amount: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over those before them in the order.
+
+    Rows are ranged, and written so that both uses see the same ranges; a range
+    starts from the sums of the ranges before it, so nothing is sorted in one task.
+    """
+    part, first, step = (fresh(x, rows) for x in ("part", "first", "step"))
+    ranged = stored(rows.withColumn(step, amount.cast("long")).repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranged")
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy(part).agg(F.sum(step).alias(step)).select(part, F.coalesce(F.sum(step).over(earlier), F.lit(0)).alias(first))
+    within = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn(name, F.coalesce(F.sum(step).over(within), F.lit(0)))
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(first)).drop(part, first, step)

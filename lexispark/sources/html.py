@@ -16,11 +16,12 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import profiles, text
 from ..plans.index import FieldDef, LexicalIndex, build_documents
+from ..plans.scratch import running, stored
 
 CONTROLS = "lexi"
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
@@ -39,18 +40,20 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # Node or str
 
-    def walk(self) -> Iterator[Node]:
-        for c in self.children:
+    def inside(self) -> Iterator:
+        """All that is below, in order, nodes before what they hold; depth is no limit."""
+        rest = self.children[::-1]
+        while rest:
+            c = rest.pop()
+            yield c
             if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+                rest.extend(reversed(c.children))
+
+    def walk(self) -> Iterator[Node]:
+        return (c for c in self.inside() if isinstance(c, Node))
 
     def texts(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.texts()
-            else:
-                yield c
+        return (c for c in self.inside() if not isinstance(c, Node))
 
     def text(self) -> str:
         return squash(" ".join(self.texts()))
@@ -179,14 +182,11 @@ def _body(root: Node, controls: str) -> Node | None:
 
 
 def _prune(node: Node, controls: str) -> None:
-    kept = []
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.tag in _BOILERPLATE or f"data-{controls}-ignore" in c.attrs:
-                continue
-            _prune(c, controls)
-        kept.append(c)
-    node.children = kept
+    rest = [node]
+    while rest:
+        at = rest.pop()
+        at.children = [c for c in at.children if not isinstance(c, Node) or not (c.tag in _BOILERPLATE or f"data-{controls}-ignore" in c.attrs)]
+        rest.extend(c for c in at.children if isinstance(c, Node))
 
 
 def extract(html: str, url: str, controls: str = CONTROLS, origins: list[str] | None = None, base: str | None = None) -> tuple[dict, Node]:
@@ -270,23 +270,21 @@ def split_sections(root: Node, url: str, levels: tuple[str, ...], controls: str
     open_: list[dict] = []
     intro: list[str] = []
 
-    def go(node: Node) -> None:
-        for c in node.children:
-            if not isinstance(c, Node):
-                s = squash(c)
-                if s:
-                    (open_[-1]["parts"] if open_ else intro if not frames else []).append(s)
-            elif c.tag in levels:
-                level = HEADINGS[c.tag]
-                while open_ and open_[-1]["level"] >= level:
-                    open_.pop()
-                open_.append({"level": level, "title": c.text(), "anchor": c.attrs.get("id", "").strip(), "parts": []})
-                frames.append(open_[-1])
-            else:
-                go(c)
-
-    if body is not None:
-        go(body)
+    rest = body.children[::-1] if body is not None else []
+    while rest:
+        c = rest.pop()
+        if not isinstance(c, Node):
+            s = squash(c)
+            if s:
+                (open_[-1]["parts"] if open_ else intro if not frames else []).append(s)
+        elif c.tag in levels:
+            level = HEADINGS[c.tag]
+            while open_ and open_[-1]["level"] >= level:
+                open_.pop()
+            open_.append({"level": level, "title": c.text(), "anchor": c.attrs.get("id", "").strip(), "parts": []})
+            frames.append(open_[-1])
+        else:
+            rest.extend(reversed(c.children))
     out, seen = [], set()
     for f in frames:
         at = url.split("#", 1)[0] + "#" + f["anchor"]
@@ -356,6 +354,7 @@ def prepare(pages: DataFrame, sections: tuple[str, ...] | None = None, mode: str
     whole = document(F.col("doc_id"), p["url"], p["title"], p["body"], p["title"] if sections else None, p["pins"], p["excerpt"])
     if not sections:
         return read.select(*whole)
+    read = stored(read, "pages")  # HTML is parsed once
     if mode == "sections":
         own = read.where((F.size(p["sections"]) == 0) | (p["intro"] != ""))
         body = F.when(F.size(p["sections"]) == 0, p["body"]).otherwise(p["intro"])
@@ -363,10 +362,8 @@ def prepare(pages: DataFrame, sections: tuple[str, ...] | None = None, mode: str
     else:
         first = read.select(*whole)
     top = pages.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("top"))
-    # ids without one sort of everything: counts before each page, then the place in it
     counts = read.select("doc_id", F.size(p["sections"]).alias("n")).where("n > 0")
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = running(counts, F.col("doc_id"), F.col("n"), "offset").select("doc_id", "offset")
     parts = read.select("doc_id", "page", F.posexplode("page.sections").alias("k", "s")).join(offsets, "doc_id").crossJoin(F.broadcast(top))  # one row
     s = F.col("s")
     rest = parts.select(*document(F.col("top") + 1 + F.col("offset") + F.col("k"), s["url"], s["title"], s["body"], p["title"], F.array().cast("array<struct<phrase:string,mode:string,priority:double,exclusive:boolean>>"), None))
@@ -380,19 +377,22 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     root = path.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace(F.expr("replace(_metadata.file_path, 'file:', '')"), "^/*" + re.escape(root.lstrip("/")) + "/", "")
     rows = files.select(rel.alias("rel"), F.col("value").alias("html"))
-    order = Window.orderBy(F.split("rel", "/"))
-    return rows.select((F.row_number().over(order) - 1).cast("long").alias("doc_id"), F.concat(F.lit("/"), F.regexp_replace("rel", r"\.html$", "")).alias("url"), "html")
+    # paths alone are ordered; pages are joined to their number
+    numbered = running(rows.select("rel"), F.split("rel", "/"), F.lit(1), "doc_id")
+    return rows.join(numbered, "rel").select("doc_id", F.concat(F.lit("/"), F.regexp_replace("rel", r"\.html$", "")).alias("url"), "html")
 
 
 def build_pages(pages: DataFrame, sections: tuple[str, ...] | None = None, mode: str = "sections", field_boosts: dict[str, float] | None = None, extract_options: dict | None = None, **build) -> LexicalIndex:
     """An index of pages (doc_id, url, html). Title counts three times as much as body;
     stored meta fields join the registry as they are found."""
     boosts = field_boosts or {}
-    docs = prepare(pages, sections, mode, **(extract_options or {}))
+    docs = stored(prepare(pages, sections, mode, **(extract_options or {})), "pages")  # HTML is parsed once
     fields = {"title": FieldDef(True, True, boosts.get("title", 3.0)), "body": FieldDef(True, False, boosts.get("body", 1.0)), "excerpt": FieldDef(False, True)}
     if sections:
         fields["pageTitle"] = FieldDef(True, True, 1.0)
     found = [r[0] for r in docs.select(F.explode(F.map_keys("stored"))).distinct().collect()]
     for name in sorted(set(found) - set(fields)):
         fields[name] = FieldDef(False, True)
-    return build_documents(docs, fields, **build)
+    index = build_documents(docs, fields, **build)
+    index.scratch += (docs,)
+    return index

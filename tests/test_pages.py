@@ -72,3 +72,24 @@ def test_directory_to_search(spark, tmp_path):
     r = s.search("best page here", Options(operator="or", facets=("topic",)))
     assert r.hits[0].pinned and r.hits[0].fields["sku"] == "A1" and r.facets["topic"].values[0].value == "x"
     assert [x.id for x in s.search("widget", Options(filters={"sku": "A1"})).hits] == [] and [x.id for x in s.search("mid", Options(filters={"sku": "A1"})).hits] == [0]
+
+
+def test_nesting_without_limit():
+    from lexispark.sources import html
+
+    deep = "<html><body>" + "<div>" * 5000 + "<h2 id=a>A</h2>text" + "</div>" * 5000 + "</body></html>"
+    row, tree = html.extract(deep, "/d")
+    assert row["body"] == "A text" and html.split_sections(tree, "/d", ("h2",))[0][0]["body"] == "text"
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from lexispark.plans.scratch import running
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 3).alias("n"))
+    got = {r.k: r.s for r in running(rows, F.col("k"), F.col("n"), "s").collect()}
+    total = 0
+    for k, n in sorted((i * 7 % 1000, i % 3) for i in range(1000)):
+        assert got[k] == total
+        total += n
