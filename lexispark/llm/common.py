@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import drop, fresh, scratch_path, sendable, shared_dir, stored
 
-__all__ = ["bounded", "byte_view", "check_names", "class_rows", "components", "drop", "fresh", "grams_of", "list_array", "mix", "sampled", "scratch_path", "sendable", "shared_dir", "stored", "table", "united", "words_of"]
+__all__ = ["bounded", "byte_view", "check_names", "class_rows", "components", "drop", "fresh", "grams_of", "list_array", "mix", "read_file", "sampled", "scratch_path", "sendable", "shared_dir", "stored", "table", "united", "words_of", "write_file"]
 
 #: Edges up to this many (16 bytes each) are united in one task, and by rounds of joins beyond.
 ONE_TASK_EDGES = 1_000_000
@@ -156,6 +159,26 @@ def sampled(df: DataFrame, n: int, expected: int, *by: str, seed: int = 7) -> Da
     return df.orderBy(h, *by).limit(n)
 
 
+def write_file(folder: str, name: str, parts: list[np.ndarray]) -> None:
+    fs, path = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    fs.create_dir(path)
+    part = f"{path}/{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        for p in parts:
+            f.write(p)
+    fs.move(part, f"{path}/{name}")  # a repeated task writes the same
+
+
+def read_file(folder: str, name: str) -> pa.Buffer | None:
+    """What the file holds, None where there is none."""
+    fs, path = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    file = f"{path}/{name}"
+    if fs.get_file_info(file).type == pa.fs.FileType.NotFound:
+        return None
+    with fs.open_input_file(file) as f:
+        return f.read_buffer()
+
+
 def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, the least node that each is linked to) of edges, by hooking and halving paths."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)

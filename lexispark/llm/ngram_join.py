@@ -1,45 +1,59 @@
-"""Jaccard self-join of documents on word n-grams, by parity sketches.
-
-A document is the set of its word n-grams. Dealing the grams into chunks by a
-hash and flipping, for each gram, one of its chunk's 64 bits gives a parity
-sketch: the Hamming distance of two sketches is at most the size of the sets'
-symmetric difference, for a shared gram flips the same bit in both. Where two
-sets differ in d grams, at most d chunks differ (the pigeonhole), so similar
-documents share whole chunks, and an equi-join on (band, chunk, parity word)
-finds them. Bands are ranges of set size in the ratio 1 / threshold: similar
-sets lie in the same band or in adjacent ones, so each document is sketched
-for its own band and for the next. The number of chunks follows the band, so
-that a chunk holds about ``load`` grams, and ``keys`` chunks a document are
-joined: all of a small document's, under several seeds, and that many of a
-large one's. Of the sets that share a chunk each is tied to the least, and to
-the least of those that also agree in one of its min-hashes, unless their
-512-bit sketches are further apart than the greatest allowed difference. Within
-the groups that the ties link all pairs are candidates: the sketches' distance
-is tested again, then the exact Jaccard coefficient of the gram sets.
+"""Jaccard self-join of documents on word n-grams, by rarest grams and parity sketches.
+
+A document is the set of its word n-grams. In any one order of all grams, two
+sets of at least the threshold share one of the first grams of each, the prefix:
+all but the threshold's share of the set, and one. The order is by how often a
+gram's bucket occurs in a sample, rarest first; what the sample misses costs time
+only, for the guarantee holds in every order. The join is on the grams of the
+prefixes. A pair is left out where sizes differ too much, or where too little
+of a set follows the first shared gram. Of the rest a pair whose 64-bit SimHashes
+are close is a tie, and ties are united as they are found, so what travels is in
+proportion to the documents; other pairs are listed, and become ties unless
+their 512-bit parity sketches are further apart than the greatest allowed
+difference. (Dealing the grams of a set to bits and flipping a bit for each makes
+a parity sketch: the Hamming distance of two is at most the size of the sets'
+symmetric difference, for a shared gram flips the same bit in both. Sets of over _DEEP grams
+have a second one, of at least two bits a gram, for 512 bits fill up.) So every
+pair of the result lies in a group that ties link. Within the groups all pairs
+are candidates: the sketches' distance is tested, then the exact Jaccard
+coefficient of the gram sets.
 
 Equal sets are one node throughout, so a text that a third of all documents
-hold is compared once, however many they are.
+hold is compared once, however many they are. The sets of a group of several
+blocks are written once, and read for every two blocks that are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_view, check_names, class_rows, components, drop, fresh, grams_of, mix, sendable, stored, united, words_of
+from .common import bounded, byte_view, check_names, class_rows, components, drop, fresh, grams_of, mix, read_file, scratch_path, sendable, stored, united, words_of, write_file
 
 N = 2
 THRESHOLD = 0.7
-LOAD = 7
-KEYS = 40
 _WIDE = 8
-_HASHES = 4
-#: A chunk is hot where so many of one in 128 sets share it; such are few.
-HOT_SAMPLED = 2000
+#: The order of grams comes from so many documents, by 2 ** _BUCKETS buckets of the grams' hashes.
+SAMPLE = 12_000
+_BUCKETS = 22
+#: Two sets look alike where so many of the 64 bits of their SimHashes differ at most.
+_ALIKE = 6
+#: A prefix gram that more sets share is hot: they are tied to leaders first, and
+#: only those of different leaders are compared.
+HOT_SAMPLED = 64
+#: A task joins about so many prefix grams.
+_SHARD = 1 << 20
+#: Sets of more grams have a sketch that grows with them.
+_DEEP = 128
+#: About so many of these in a file.
+_DEEP_SETS = 100_000
+#: Pairs listed before a task gives them out.
+_LISTED = 1 << 21
 #: A block of the last test holds about this many documents of a side.
 BLOCK = 2000
 
@@ -69,32 +83,33 @@ def gram_sets(data: np.ndarray, ends: np.ndarray, n: int = N) -> tuple[np.ndarra
     return g, np.searchsorted(of, np.arange(len(ends)))
 
 
-def _chunk_keys(g: np.ndarray, of: np.ndarray, docs: np.ndarray, sizes: np.ndarray, band: int, chunks: int, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the given documents (``of`` counts within ``docs``): (key, document, chunk)."""
-    found, owners, places = [], [], []
-    used, seeds = min(chunks, keys), -(-keys // chunks)
-    least = np.where(sizes < 6, (sizes + 1) // 2, 3)
-    for seed in range(seeds):
-        with np.errstate(over="ignore"):
-            salt = mix(np.array([band * 1000 + seed + 1], np.uint64))[0]
-            x = mix(g ^ salt)
-        chunk = ((x >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)
-        if used < chunks:
-            take = chunk < used
-            x, chunk, mine = x[take], chunk[take], of[take]
-        else:
-            mine = of
-        cell = mine * used + chunk.astype(np.int64)
-        word = np.zeros(len(docs) * used, np.uint64)
-        np.bitwise_xor.at(word, cell, np.uint64(1) << (x & np.uint64(63)))
-        held = np.bincount(cell, minlength=len(word))
-        full = np.flatnonzero(held >= np.repeat(least, used))
-        with np.errstate(over="ignore"):
-            key = mix(mix(word[full] ^ salt) + (full % used).astype(np.uint64))
-        found.append(key)
-        owners.append(docs[full // used])
-        places.append(full % used)
-    return np.concatenate(found), np.concatenate(owners), np.concatenate(places)
+def _prefixes(g: np.ndarray, first: np.ndarray, threshold: float, often: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of gram sets laid end to end: (grams in order, where each set's begin)."""
+    size = np.diff(first)
+    of = np.repeat(np.arange(len(size)), size)
+    if often is not None:
+        rank = often[(g >> np.uint64(64 - _BUCKETS)).astype(np.int64)].astype(np.int64)
+        g = g[np.argsort(of * 256 + rank, kind="stable")]  # sets were in order of their hashes
+    length = np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
+    length = np.minimum(length, size)
+    return g[np.arange(len(g)) - first[of] < length[of]], np.concatenate([[0], np.cumsum(length)])
+
+
+def _simhash(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits of each gram set, each what most of its grams have there."""
+    size, out = np.diff(first), np.zeros(len(first) - 1, np.uint64)
+    some = np.flatnonzero(size)
+    step = 1 << 17  # grams at a time, but for longer sets
+    at = 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(first[some + 1], first[some[at]] + step, side="right")))
+        mine = some[at:to]
+        lo, hi = first[mine[0]], first[mine[-1] + 1]
+        bits = np.unpackbits(mix(g[lo:hi] + np.uint64(9)).view(np.uint8).reshape(-1, 8), axis=1)
+        votes = np.add.reduceat(bits, first[mine] - lo, axis=0, dtype=np.int32)
+        out[mine] = np.packbits(2 * votes > size[mine, None], axis=1).view(np.uint64)[:, 0]
+        at = to
+    return out
 
 
 def sketch_hash(g: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -109,61 +124,266 @@ def sketch_hash(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return whole
 
 
-def sketch(data: np.ndarray, ends: np.ndarray, n: int, threshold: float, load: float, keys: int):
-    """For each text: set size, set hash, wide sketch (texts x 8 words), and its keys as
-    (key, text, min-hash) arrays; each key goes with one of four min-hashes of its set."""
+def sketch(data: np.ndarray, ends: np.ndarray, n: int, threshold: float, *_, often: np.ndarray | None = None):
+    """For each text: set size, set hash, wide sketch (texts x 8 words), SimHash, its prefix
+    as (grams, where each text's begin), and the deep sketch of a large set. ``often`` ranks the buckets of grams."""
     g, first = gram_sets(data, ends, n)
-    size = np.diff(first)
-    texts = len(size)
-    of = np.repeat(np.arange(texts), size)
-    whole, least = sketch_hash(g, first), np.zeros((_HASHES, texts), np.int16)
-    some = size > 0
-    if some.any():
-        start = first[:-1][some]
-        for k in range(_HASHES):
-            least[k, some] = np.minimum.reduceat(mix(g ^ mix(np.array([k + 77], np.uint64))[0]), start) & np.uint64(0x7FFF)
-    band = np.floor(np.log(np.maximum(size, 1)) / -np.log(threshold) + 1e-9).astype(int)
-    all_keys, all_of, all_least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
-    for b in np.unique(band[some]):
-        docs = np.flatnonzero(some & (band == b))
-        inside = np.isin(of, docs)
-        part, local = g[inside], np.searchsorted(docs, of[inside])
-        for shift in (0, 1):
-            chunks = max(2, round(threshold ** -(b + shift) / load))
-            k, o, c = _chunk_keys(part, local, docs, size[docs], int(b) + shift, chunks, keys)
-            all_keys.append(k)
-            all_of.append(o)
-            all_least.append(least[c % _HASHES, o])
-    key, owner = np.concatenate(all_keys), np.concatenate(all_of)
-    order = np.argsort(owner, kind="stable")
-    return size, whole, _wide(g, first), key[order], owner[order], np.concatenate(all_least)[order]
-
-
-def sketches(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, load: float = LOAD, keys: int = KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, s, size, wide, keys) of each row with an id; ``s`` tells gram sets apart and
-    is null where there is no word. ``keys`` are (key, min-hash)."""
+    deep = [_deep(g[a:b]).tobytes() if b - a > _DEEP else None for a, b in zip(first[:-1], first[1:])]
+    return np.diff(first), sketch_hash(g, first), _wide(g, first), _simhash(g, first), *_prefixes(g, first, threshold, often), deep
+
+
+def gram_ranks(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """A rank, 0 for the rarest, of each bucket of grams, from at most SAMPLE documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 4000):
-            size, whole, wide, key, owner, least = sketch(*byte_view(batch.column(1)), n, threshold, load, keys)
+            g, _ = gram_sets(*byte_view(batch.column(0)), n)
+            bucket, count = np.unique(g >> np.uint64(64 - _BUCKETS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(count.astype(np.int64))], names=["bucket", "n"])
+
+    known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("t"))
+    # rows by a hash of their id, no sort: the order need not be the same on every run
+    rows = known.count()
+    if rows > SAMPLE:
+        known = known.where(F.col("id") < F.lit((SAMPLE << 64) // rows - (1 << 63)))
+    found = known.select("t").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    often = np.zeros(1 << _BUCKETS, np.uint8)
+    count = found["n"].to_numpy().astype(float)
+    often[found["bucket"].to_numpy()] = np.minimum(255, np.round(16 * np.log2(np.maximum(count, 1))))
+    return often
+
+
+def sketches(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, s, size, wide, sim, keys, deep) of each row with an id; ``s`` tells gram sets apart and
+    is null where there is no word. ``keys`` are the grams of the prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(gram_ranks(docs, n, id_col, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 4000):
+            size, whole, wide, sim, key, first, deep = sketch(*byte_view(batch.column(1)), n, threshold, often=sent.value)
             texts = len(size)
-            pairs = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(least)], names=["key", "m"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(whole.view(np.int64), mask=size == 0),
                     pa.array(size.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * _WIDE), pa.array(wide.reshape(-1).view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(texts + 1)).astype(np.int32)), pairs),
+                    pa.array(sim.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(key.view(np.int64))),
+                    pa.array(deep, pa.binary()),
                 ],
-                names=["id", "s", "size", "wide", "keys"],
+                names=["id", "s", "size", "wide", "sim", "keys", "deep"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    form = f"id {kind}, s long, size int, wide array<long>, keys array<struct<key:long,m:smallint>>"
+    form = f"id {kind}, s long, size int, wide array<long>, sim long, keys array<long>, deep binary"
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, form)
 
 
+def _candidates(key: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, sim: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(one, other, whether they look alike) of documents that share a prefix gram and may
+    reach the threshold; a pair may be missing where others that look alike tie it.
+
+    ``key``, ``doc``, ``at``: grams, whose they are and their places in the prefix.
+    """
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.append(same, False) | np.append(False, same)]  # what one document has pairs nothing
+    if not len(order):
+        return
+    order = order[np.lexsort((size[doc[order]], key[order]))]
+    key, doc, at = key[order], doc[order], at[order]
+    size, sim = size[doc], sim[doc]
+    rest = size - at
+    share = threshold / (1 + threshold)
+
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        may = np.minimum(rest[i], rest[j]) >= (size[i] + size[j]) * share - 1e-6
+        i, j = i[may], j[may]
+        return doc[i], doc[j], np.bitwise_count(sim[i] ^ sim[j]) <= _ALIKE
+
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.diff(np.append(first, len(key)))
+    i, d = np.flatnonzero(np.repeat(many <= HOT_SAMPLED, many)), 1
+    while True:
+        i = i[i + d < len(key)]
+        i = i[(key[i] == key[np.minimum(i + d, len(key) - 1)])]
+        i = i[size[i] >= threshold * size[i + d] - 1e-6]
+        if not len(i):
+            break
+        yield kept(i, i + d)
+        d += 1
+    for lo, n in zip(first[many > HOT_SAMPLED], many[many > HOT_SAMPLED]):
+        own, left = np.full(n, -1), np.arange(n)
+        while len(left):
+            lead = left[0]
+            like = (np.bitwise_count(sim[lo + left] ^ sim[lo + lead]) <= _ALIKE) & (size[lo + lead] >= threshold * size[lo + left] - 1e-6)
+            own[left[like]] = lead
+            tied = lo + left[like]
+            yield doc[np.full(len(tied), lo + lead)], doc[tied], np.ones(len(tied), bool)
+            left = left[~like]
+        # the pairs of different leaders: each but those of the most followed against all
+        most = np.bincount(own).argmax()
+        for x in np.flatnonzero(own != most):
+            a, b = np.searchsorted(size[lo : lo + n], [threshold * size[lo + x] - 1e-6, size[lo + x] / threshold + 1e-6], side="left")
+            y = np.arange(a, b)
+            y = y[(own[y] != own[x]) & ((y > x) | (own[y] == most))]
+            yield kept(np.full(len(y), lo + x), lo + y)
+
+
+def _deep(g: np.ndarray) -> np.ndarray:
+    """A parity sketch of one set with at least two bits a gram. Its words laid in rows of
+    half as many, and the rows' parity taken, are the sketch of half the size."""
+    words = _WIDE << max(0, math.ceil(math.log2(len(g) / (32 * _WIDE))))
+    out = np.zeros(words, np.uint64)
+    word = (g >> np.uint64(61)) + np.uint64(_WIDE) * (g & np.uint64(words // _WIDE - 1))
+    np.bitwise_xor.at(out, word.astype(np.int64), np.uint64(1) << ((g >> np.uint64(55)) & np.uint64(63)))
+    return out
+
+
+def _near(pairs: DataFrame, deep: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Of the pairs (u, v, na, nb) of sets those whose deep sketches (s, deep) are not too far
+    apart. Sketches are written once, in ``parts`` files, and two of these read at a time."""
+    spark = pairs.sparkSession
+    folder = scratch_path(spark, "deep")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema) as out:
+                out.write_table(whole)
+            write_file(folder, str(whole["part"][0].as_py()), [np.frombuffer(sink.getvalue(), np.uint8)])
+            yield pa.RecordBatch.from_arrays([pa.array([whole.num_rows], pa.int64())], names=["n"])
+
+    def part(c: str):
+        return F.pmod(F.col(c), F.lit(parts)).cast("int")
+
+    # ranges of one part each, so that a task has one file
+    deep.select(part("s").alias("part"), "s", "deep").repartitionById(parts, "part").mapInArrow(write, "n long").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, tuple] = {}
+
+        def of(p: int):
+            if p not in have:
+                while len(have) > 1:
+                    have.pop(next(iter(have)))
+                with pa.ipc.open_stream(read_file(folder, str(p))) as f:
+                    whole = f.read_all().combine_chunks()
+                s = whole["s"].to_numpy()
+                order = np.argsort(s, kind="stable")
+                have[p] = s[order], order, whole["deep"].combine_chunks()
+            return have[p]
+
+        for batch in batches:
+            u, v, na, nb, pu, pv = (batch.column(j).to_numpy() for j in range(6))
+            most = (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9
+            take = np.zeros(len(u), bool)
+            cut = np.append(np.flatnonzero(np.append(True, (pu[1:] != pu[:-1]) | (pv[1:] != pv[:-1]))), len(u))
+            for a, b in zip(cut, cut[1:]):
+                (sx, ox, dx), (sy, oy, dy) = (of(int(p)) for p in (pu[a], pv[a]))
+                for k, i, j in zip(range(a, b), ox[np.searchsorted(sx, u[a:b])], oy[np.searchsorted(sy, v[a:b])]):
+                    x, y = np.frombuffer(dx[int(i)].as_buffer(), np.uint64), np.frombuffer(dy[int(j)].as_buffer(), np.uint64)
+                    while len(x) > len(y):
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    while len(y) > len(x):
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                    take[k] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= most[k]
+            yield batch.select([0, 1]).filter(pa.array(take))
+
+    dealt = pairs.select("u", "v", "na", "nb", part("u").alias("pu"), part("v").alias("pv")).repartition("pu", "pv", "u").sortWithinPartitions("pu", "pv")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _ties(entries: DataFrame, threshold: float, shards: int) -> DataFrame:
+    """(u, v, sure) of sets by (s, size, sim, keys): ``sure`` ties of sets that look alike,
+    united, and all other pairs that may reach the threshold."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 4000):
+            lists = batch.column(3)
+            key, first = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+            of = np.repeat(np.arange(len(first)), first)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(first) - first, first)
+            to = (mix(key) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(shards + 1))
+            some = np.flatnonzero(np.diff(cut))
+            info = [batch.column(j).to_numpy() for j in range(3)]
+            out: list[list[bytes]] = [[] for _ in range(6)]
+            for i in some:  # one row a shard, not one a gram: what travels is arrays
+                mine = order[cut[i] : cut[i + 1]]
+                docs, local = np.unique(of[mine], return_inverse=True)
+                for held, x in zip(out, (key[mine], local.astype(np.uint16), at[mine].astype(np.uint32), *(x[docs] for x in info))):
+                    held.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x, pa.binary()) for x in out)], names=["shard", "k", "d", "a", "s", "size", "sim"])
+
+    kinds = (np.uint64, np.uint16, np.uint32, np.int64, np.int32, np.int64)
+
+    def found(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, _, at, s, size, sim = (np.concatenate(x) for x in zip(*held))
+        before = np.cumsum([0] + [len(x[3]) for x in held[:-1]])
+        doc = np.concatenate([x[1].astype(np.int64) + b for x, b in zip(held, before)])
+        s, back = np.unique(s, return_inverse=True)  # a document comes once a batch
+        doc, whole, bits = back[doc], np.zeros(len(s), np.int64), np.zeros(len(s), np.uint64)
+        whole[back], bits[back] = size, sim.view(np.uint64)
+        root, pairs, n = np.arange(len(s)), [], 0
+
+        def listed() -> pa.RecordBatch:
+            i, j = (np.concatenate(x) for x in zip(*pairs))
+            code = np.unique(np.minimum(i, j) * len(s) + np.maximum(i, j))
+            i, j = code // len(s), code % len(s)
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            return pa.RecordBatch.from_arrays([pa.array(s[i]), pa.array(s[j]), pa.array(np.zeros(len(i), bool))], names=["u", "v", "sure"])
+
+        ties = []
+        for i, j, alike in _candidates(key, doc, at.astype(np.int64), whole, bits, threshold):
+            ties.append((i[alike], j[alike]))
+            pairs.append((i[~alike], j[~alike]))
+            n += len(i)
+            if n > _LISTED:
+                root = _rooted(root, ties)
+                ties = []
+                yield listed()
+                pairs, n = [], 0
+        root = _rooted(root, ties)
+        if pairs:
+            yield listed()
+        tied = np.flatnonzero(root != np.arange(len(s)))
+        yield pa.RecordBatch.from_arrays([pa.array(s[tied]), pa.array(s[root[tied]]), pa.array(np.ones(len(tied), bool))], names=["u", "v", "sure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            for shard, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                if shard != now and held:
+                    yield from found(held)
+                    held = []
+                now = shard
+                held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds)])
+        if held:
+            yield from found(held)
+
+    dealt = entries.select("s", "size", "sim", "keys").mapInArrow(deal, "shard int, k binary, d binary, a binary, s binary, size binary, sim binary")
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long, sure boolean")
+
+
+def _rooted(root: np.ndarray, ties: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``root``, the least document each is tied to, with more ties."""
+    if not ties:
+        return root
+    u, v = (np.concatenate(x) for x in zip(*ties))
+    if not len(u):
+        return root
+    nodes, least = united(root[u], root[v])
+    step = np.arange(len(root))
+    step[nodes] = least
+    return step[root]
+
+
 def _wide(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     """512-bit parity sketches (sets x 8 words) of gram sets laid end to end."""
     sets = len(first) - 1
@@ -217,94 +437,153 @@ class _Plan:
     """The join up to its blocks: ``base`` (sketches), ``nodes`` (s, rep, mult) and
     ``work``, a row a block of sets to be compared."""
 
-    def __init__(self, docs: DataFrame, n: int, threshold: float, load: float, keys: int, id_col: str, text_col: str):
-        kind = docs.schema[id_col].dataType.simpleString()
-        self.base = base = stored(sketches(docs, n, threshold, load, keys, id_col, text_col), "sketches")
+    def __init__(self, docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str):
+        spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+        self.base = base = stored(sketches(docs, n, threshold, id_col, text_col), "sketches")
         # one row a set: its least id, and how many ids have it
         by_id = base.where("s is not null").groupBy("s", "id").agg(F.first("size").alias("size"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("rows"))
-        self.nodes = nodes = stored(by_id.groupBy("s").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.max("rows").alias("rows")), "sets")
-        # one row a chunk and set; the ties of a chunk are to one or two of its sets, so
-        # that what travels is in proportion to the documents, not to the pairs
-        flat = base.select(F.explode("keys").alias("k"), "s").select("k.key", "k.m", "s")
-        # chunks of very many sets, told by one set in 128, are tied by partial aggregation, not in one task
-        some = flat.where(F.pmod(F.xxhash64("s"), F.lit(128)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        hot = stored(some.where(F.col("n") >= HOT_SAMPLED).select("key"), "hot")
-        few = flat.join(F.broadcast(hot), "key", "left_anti").repartition("key").groupBy("key", "s").agg(F.min("m").alias("m"))
-        few = few.select("s", *[F.min("s").over(Window.partitionBy(*by)).alias(c) for c, by in (("least", ["key"]), ("alike", ["key", "m"]))])
-        many = flat.join(F.broadcast(hot), "key")
-        leaders = many.groupBy("key", "m").agg(F.min("s").alias("alike"))
-        leaders = leaders.join(many.groupBy("key").agg(F.min("s").alias("least")), "key")
-        many = many.join(F.broadcast(leaders), ["key", "m"]).select("s", "least", "alike")
-        ties = few.unionByName(many).select("s", F.explode(F.array("least", "alike")).alias("to")).where("s <> to").distinct()
-        # a tie of two sketches too far apart is chance, and would link strangers' groups
-        ends = ties.join(nodes.select("s", F.col("size").alias("na"), F.col("wide").alias("wa")), "s")
-        ends = ends.join(nodes.select(F.col("s").alias("to"), F.col("size").alias("nb"), F.col("wide").alias("wb")), "to")
+        self.nodes = nodes = stored(by_id.groupBy("s").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.max("rows").alias("rows"), F.sum("rows").alias("held")), "sets")
+        # a set of several rows gives its grams once
+        again = sendable(nodes.where("held > 1").select("s"), fixed=24)
+        grams = base.where("s is not null").select("s", "size", "sim", "keys")
+        once = grams.join(again, "s", "left_semi").groupBy("s").agg(*[F.first(c).alias(c) for c in ("size", "sim", "keys")])
+        entries = grams.join(again, "s", "left_anti").unionByName(once)
+        much = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
+        ties = stored(_ties(entries, threshold, max(1, math.ceil(much * (1 - threshold) / _SHARD))), "ties")
+        # a listed pair of two sketches too far apart would link strangers' groups
+        ends = ties.where("not sure").select("u", "v").distinct().join(nodes.select(F.col("s").alias("u"), F.col("size").alias("na"), F.col("wide").alias("wa")), "u")
+        ends = ends.join(nodes.select(F.col("s").alias("v"), F.col("size").alias("nb"), F.col("wide").alias("wb")), "v")
         apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         allowed = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
-        root = stored(components(ends.where((apart <= allowed) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)), "to", "s"), "roots").withColumnRenamed("node", "s")
+        ends = stored(ends.where(apart <= allowed).select("u", "v", "na", "nb"), "near")
+        large = F.least("na", "nb") > _DEEP
+        parts = max(1, math.ceil(nodes.where(F.col("size") > _DEEP).count() / _DEEP_SETS))
+        # a set of several rows has its sketch of each, all the same; one is taken
+        sketched = base.where("deep is not null").join(again, "s", "left_anti").select("s", "deep")
+        sketched = sketched.unionByName(base.where("deep is not null").join(again, "s", "left_semi").groupBy("s").agg(F.first("deep").alias("deep")))
+        ends = _near(ends.where(large), sketched, threshold, parts).unionByName(ends.where(~large).select("u", "v")).unionByName(ties.where("sure").select("u", "v"))
+        root = stored(components(ends), "roots").withColumnRenamed("node", "s")
+        drop(ties)
         # all pairs of a linked group are verified, in blocks of a bounded size
         parts = root.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        parts = sendable(parts.where("parts > 1"))
+        parts = stored(parts.where("parts > 1"), "parts")
         own = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("o")
-        places = (
-            root.join(parts, "root", "left")
-            .select("s", "root", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce(own, F.lit(0)).alias("p"), other)
-            .select("s", F.struct("root", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "parts").alias("block"), F.when(F.col("p") != F.col("o"), (F.col("p") > F.col("o")).cast("int")).alias("side"))
-        )
-        placed = places.groupBy("s").agg(F.collect_list(F.struct("block", "side")).alias("places"))  # at most a group's parts
-        places = stored(placed.join(nodes.select("s", "rep", "mult"), "s"), "places")
+        places = root.join(sendable(parts), "root", "left").select("s", "root", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce(own, F.lit(0)).alias("p"))
+        places = stored(places.join(nodes.select("s", "rep", "mult"), "s"), "places")
         # a set's text is that of its least id; an id may have other texts besides
-        texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(sendable(places, F.size("places").cast("long") * 48), "rep").select("rep", "s", "mult", "places", "t")
-        place = places.schema["places"].dataType.simpleString()
+        texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t"))
+        side = sendable(places)
+        if side is places:
+            texts = _marked(texts, places.select("rep"), kind)  # only they are moved
+        texts = texts.join(side, "rep").select("rep", "s", "mult", "root", "parts", "p", "t")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in bounded(batches, 4000):
-                data, ends_ = byte_view(batch.column(4))
+                data, ends_ = byte_view(batch.column(6))
                 g, first = gram_sets(data, ends_, n)
                 whole = sketch_hash(g, first)
                 raw = [g[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                made = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(raw, pa.binary())], names=["rep", "s", "mult", "places", "grams"])
+                made = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(raw, pa.binary())], names=["rep", "s", "mult", "root", "parts", "p", "grams"])
                 yield made.filter(pa.array(whole.view(np.int64) == batch.column(1).to_numpy()))
 
-        held = texts.mapInArrow(sets, f"rep {kind}, s long, mult long, places {place}, grams binary")
+        held = texts.mapInArrow(sets, f"rep {kind}, s long, mult long, root long, parts int, p int, grams binary")
         self.members = base.select("id", "s")
         if nodes.where("rows > 1").limit(1).count():  # repeated rows
             held, self.members = held.dropDuplicates(["s"]), self.members.distinct()
-        held = held.select("rep", "s", "mult", F.explode("places").alias("p"), "grams").select("p.block", F.struct("s", "rep", "mult", "p.side", "grams").alias("s"))
         self.kind, self.threshold = kind, threshold
-        self.work = held.groupBy("block").agg(F.collect_list("s").alias("sets")).where(F.size("sets") > 1)
+        whole = held.groupBy("root", "parts", "p").agg(F.collect_list(F.struct("s", "rep", "mult", "grams")).alias("sets"))
+        if not parts.limit(1).count():
+            self.work = whole.where(F.size("sets") > 1).selectExpr("root", "parts", "sets", "cast(null as string) folder", "cast(null as int) i", "cast(null as int) j")
+            return
+        # the sets of a split group are written once, a file a part; blocks are pairs of files
+        folder = scratch_path(spark, "parts")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    if row.column(1)[0].as_py() == 1:
+                        yield row
+                        continue
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, row.schema) as out:
+                        out.write_batch(row)
+                    write_file(folder, f"{row.column(0)[0].as_py()}_{row.column(2)[0].as_py()}", [np.frombuffer(sink.getvalue(), np.uint8)])
+
+        whole = whole.mapInArrow(write, whole.schema)
+        whole = stored(whole, "blocks")
+        some = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        pairs = parts.select("root", "parts", some.alias("i")).select("root", "parts", "i", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)).alias("j"))
+        pairs = pairs.repartition(F.col("root"), F.col("i"), F.col("j")).select("root", "parts", F.lit(None).cast(whole.schema["sets"].dataType).alias("sets"), F.lit(folder).alias("folder"), "i", "j")
+        self.work = whole.where(F.size("sets") > 1).selectExpr("root", "parts", "sets", "cast(null as string) folder", "cast(null as int) i", "cast(null as int) j").unionByName(pairs)
+
+
+def _marked(rows: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """``rows`` (rep, t) whose id is one of ``ids``, and few others: told by a bit for its hash."""
+    size = 1 << min(28, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
+    spot = F.pmod(F.xxhash64("rep"), F.lit(size))
+    marks = ids.select(spot.alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 31 as int)))").alias("b")).toArrow()
+    bits = np.zeros(size >> 5, np.uint32)
+    bits[marks["w"].to_numpy()] = marks["b"].to_numpy().astype(np.uint32)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(2).to_numpy()
+            take = (sent.value[x >> 5] >> (x & 31).astype(np.uint32)) & np.uint32(1)
+            yield batch.select([0, 1]).filter(pa.array(take.astype(bool)))
+
+    return rows.where("rep is not null").select("rep", "t", spot.alias("x")).mapInArrow(run, f"rep {kind}, t string")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], threshold: float):
+    """Of every block of ``work``: its sets, parts of its group, and the pairs in it."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            root, parts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            if batch.column(3)[i].as_py() is None:
+                block, side = batch.column(2)[i].values, None
+            else:
+                folder, *both = (batch.column(j)[i].as_py() for j in (3, 4, 5))
+                read = []
+                for p in dict.fromkeys(both):
+                    whole = read_file(folder, f"{root}_{p}")
+                    if whole is not None:  # a hash may leave a part empty
+                        with pa.ipc.open_stream(whole) as f:
+                            read.append((p != both[0], f.read_next_batch().column(3)[0].values))
+                if not read or (len(read) == 1 and both[0] != both[1]):
+                    continue
+                block = pa.concat_arrays([x for _, x in read])
+                side = np.repeat([int(k) for k, _ in read], [len(x) for _, x in read]).tolist() if len(read) > 1 else None
+            raw = block.field("grams").to_pylist()
+            yield block, parts, *_verify_block(side or [None] * len(raw), raw, threshold)
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, load: float = LOAD, keys: int = KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b, of documents whose gram sets differ and are that similar.
 
     Documents with equal sets are one: the least id of them stands for all;
-    ``jaccard_classes`` has their number. Pairs are found with a recall of over
-    0.9 at the threshold itself and nearly 1 above 0.8; what is listed has its
-    exact coefficient. Words are runs of ASCII letters and digits and of
+    ``jaccard_classes`` has their number. No pair that meets the threshold is left out,
+    and what is listed has its exact coefficient. Words are runs of ASCII letters and digits and of
     characters beyond ASCII, capitals folded in ASCII.
 
     Rows with a null id, a null text or no word are in no pair. Repeated rows
     count once; where one id has several texts a pair has the greatest of their
     coefficients. Other columns are not used. An empty table gives no pairs.
     """
-    plan = _Plan(docs, n, threshold, load, keys, id_col, text_col)
+    plan = _Plan(docs, n, threshold, id_col, text_col)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.column(1)[i].values
-                x, y, j = _verify_block(block.field("side").to_pylist(), block.field("grams").to_pylist(), threshold)
-                if len(x):
-                    rep = block.field("rep")
-                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)), rep.take(pa.array(y)), pa.array(j)], names=["x", "y", "jaccard"])
+        for block, _, x, y, j in _blocks(batches, threshold):
+            if len(x):
+                rep = block.field("rep")
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)), rep.take(pa.array(y)), pa.array(j)], names=["x", "y", "jaccard"])
 
     near = plan.work.mapInArrow(verify, f"x {plan.kind}, y {plan.kind}, jaccard double").where("x <> y")
     return near.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, load: float = LOAD, keys: int = KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links), a row for each id.
 
     Two documents are linked where their gram sets are equal or have at least
@@ -318,22 +597,18 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, l
     columns are not used. An empty table gives no rows.
     """
     check_names(id_col, "class_id", "n_links")
-    plan = _Plan(docs, n, threshold, load, keys, id_col, text_col)
+    plan = _Plan(docs, n, threshold, id_col, text_col)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.column(1)[i].values
-                x, y, _ = _verify_block(block.field("side").to_pylist(), block.field("grams").to_pylist(), threshold)
-                if not len(x):
-                    continue
-                s, mult = block.field("s").to_numpy(), block.field("mult").to_numpy()
-                n_links = np.bincount(x, mult[y], len(s)) + np.bincount(y, mult[x], len(s))
-                nodes, root = united(s[x], s[y])
-                order = np.argsort(s)
-                own = order[np.searchsorted(s[order], nodes)]
-                parts = batch.column(0)[i]["parts"].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(n_links[own].astype(np.int64)), pa.array(np.full(len(nodes), parts > 1))], names=["s", "root", "n", "split"])
+        for block, parts, x, y, _ in _blocks(batches, threshold):
+            if not len(x):
+                continue
+            s, mult = block.field("s").to_numpy(), block.field("mult").to_numpy()
+            n_links = np.bincount(x, mult[y], len(s)) + np.bincount(y, mult[x], len(s))
+            nodes, root = united(s[x], s[y])
+            order = np.argsort(s)
+            own = order[np.searchsorted(s[order], nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(n_links[own].astype(np.int64)), pa.array(np.full(len(nodes), parts > 1))], names=["s", "root", "n", "split"])
 
     linked = stored(plan.work.mapInArrow(verify, "s long, root long, n long, split boolean"), "links")
     # a group in one block has its components; those of split groups are put together

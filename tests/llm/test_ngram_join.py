@@ -1,5 +1,6 @@
 import itertools
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -182,3 +183,48 @@ def test_large_blocks_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
     assert {tuple(r) for r in nj.jaccard_pairs(docs).collect()} == whole and len(whole) > 300
     assert as_dict(nj.jaccard_classes(docs)) == classes == brute(rows)[1]
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark, monkeypatch):
+    """Sets of 1 to 400 grams, each with one just above the threshold and one just below it."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for size in [*range(1, 41)] * 3 + [*range(50, 400, 5)]:
+        # grams of one word where there are n = 1; shared ones first
+        mine = [f"a{rng.integers(10**9)}" for _ in range(size)]
+        for same in (int(np.ceil(0.7 * size)), int(np.ceil(0.7 * size)) - 1):
+            rows += [(len(rows), " ".join(mine)), (len(rows) + 1, " ".join(mine[:same]))]
+            more = int(same / 0.7 + 1e-9) - size  # others of the second set
+            if more > 0:
+                rows[-1] = (len(rows) - 1, rows[-1][1] + "".join(f" b{rng.integers(10**9)}" for _ in range(more)))
+        half = int(np.ceil(0.8236 * size))  # as many in both, of equal size
+        rows.append((len(rows), " ".join(mine[:half] + [f"c{rng.integers(10**9)}" for _ in range(size - half)])))
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    want = {}
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if x != y and len(x & y) / len(x | y) >= 0.7:
+            least = tuple(sorted(min(i for i, z in list(sets.items())[max(0, a - 5) : b + 6] if z == s) for s in (x, y)))
+            want[least] = len(x & y) / len(x | y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, listed in ((nj.HOT_SAMPLED, 1 << 21), (1, 10)):
+        monkeypatch.setattr(nj, "HOT_SAMPLED", hot)
+        monkeypatch.setattr(nj, "_LISTED", listed, raising=False)
+        got = {(r.id_a, r.id_b): r.jaccard for r in nj.jaccard_pairs(docs, n=1).collect()}
+        assert set(got) == set(want) and len(want) > 300 and all(np.isclose(want[k], j) for k, j in got.items())
+
+
+def test_sets_of_a_large_group_are_kept_once(spark, monkeypatch):
+    """What is written for a group grows with its sets, not with its blocks."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[:i], f"z{i}", *base[i:]])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: (0, 89) for i, _ in rows}
+    held = []
+    for block in (100, 9):
+        monkeypatch.setattr(nj, "BLOCK", block)
+        plan = nj._Plan(docs, nj.N, nj.THRESHOLD, "doc_id", "text")
+        sets = [r.sets for r in plan.work.collect() if r.sets is not None]
+        files = sum(f.stat().st_size for p in Path(scratch.shared_dir(spark)).glob("parts-*") if p.is_dir() for f in p.iterdir() if "_" in f.name and "part-" not in f.name)
+        held.append(sum(len(x.grams) for s in sets for x in s) + files)
+        assert as_dict(nj.jaccard_classes(docs)) == want
+    assert held[1] < 1.5 * held[0]
