@@ -12,10 +12,10 @@ ones by shards of their last HEAD + 1 bytes, each a file of sorted arrays in the
 shared folder that scoring maps into memory. ``grow`` and ``Tree`` hold a
 small tree in one piece.
 
-Where the hash of the bytes before a position is 0 modulo ``ANCHOR``, a context
-of ``LONG`` bytes is a candidate too, once two positions follow it. It tells a
-passage that occurs twice from one that occurs once, which no count of short
-contexts does, and costs the shuffle of one position in ``ANCHOR``.
+A context of ``LONG`` bytes is a candidate too, at every position, once two
+positions follow it. It tells a passage that occurs twice from one that occurs
+once, which no count of short contexts does. ``anchor`` above 1 looks only at
+positions where the hash of the bytes before is 0 modulo it.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ DEEP = 6
 COUNT = 4
 HEAD = 2
 LONG = 20
-ANCHOR = 16
+ANCHOR = 1
 REPEATED = 2
 DIVERGENCE = 0.01
 SMOOTH = 4.0

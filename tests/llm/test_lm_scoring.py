@@ -183,3 +183,12 @@ def test_long_contexts_against_the_definition(spark, monkeypatch):
             assert r.known_share == 1
         if 2 <= r.doc_id < 12:
             assert r.known_share == 0
+
+
+def test_every_position_may_have_a_long_context(spark):
+    rng = np.random.default_rng(2)
+    passage = "".join(rng.choice(list("abcdefgh "), 21))
+    noise = ["".join(rng.choice(list("abcdefgh "), 60)) for _ in range(2)]
+    docs = spark.createDataFrame([(i, n + passage) for i, n in enumerate(noise)], "doc_id long, text string")
+    # of the 61 positions with 20 bytes before them the last alone follows a context that repeats
+    assert [r.known_share for r in lm.score(docs, lm.fit(docs)).collect()] == [1 / 61] * 2
