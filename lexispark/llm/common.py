@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import drop, fresh, scratch_path, sendable, shared_dir, stored
 
-__all__ = ["bounded", "byte_view", "check_names", "class_rows", "components", "drop", "fresh", "grams_of", "list_array", "mix", "read_file", "sampled", "scratch_path", "sendable", "shared_dir", "stored", "table", "united", "words_of", "write_file"]
+__all__ = ["bounded", "byte_view", "check_names", "class_rows", "components", "drop", "fresh", "grams_of", "lean", "list_array", "mix", "read_file", "sampled", "scratch_path", "sendable", "shared_dir", "stored", "table", "united", "words_of", "write_file"]
 
 #: Edges up to this many (16 bytes each) are united in one task, and by rounds of joins beyond.
 ONE_TASK_EDGES = 1_000_000
@@ -59,6 +61,26 @@ def bounded(batches, rows: int = 2000, size: int = 3 << 20):
             start += n
 
 
+def lean(run):
+    """``run``, a function for mapInArrow, that gives the memory its task has freed back to
+    the system when it begins and ends. Workers are used again, and what their allocators
+    keep would add up with what the next task takes, beside the JVM's whole heap."""
+
+    def give_back() -> None:
+        if len(_POWERS.get("up", ())) > _SMALL:  # of an operator with larger batches
+            _POWERS.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def wrapped(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
@@ -73,6 +95,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _MULT = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
+_SMALL = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +103,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("up")
     if have is not None and len(have) >= n:
         return have[:n], _POWERS["down"][:n]
-    size = max(n, 1 << 22)
+    size = max(_SMALL, 1 << (n - 1).bit_length())  # no more than the batches at hand need
     made = []
     with np.errstate(over="ignore"):
         for base in (_MULT, pow(_MULT, -1, 1 << 64)):
             step = np.full(size, base, np.uint64)
             step[0] = 1
             made.append(np.multiply.accumulate(step, out=step))
-    if size == 1 << 22:  # what a single longer text needs isn't kept
+    if size <= 1 << 22:  # what a single longer text needs isn't kept
         _POWERS["up"], _POWERS["down"] = made
     return made[0][:n], made[1][:n]
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_view, check_names, class_rows, components, drop, fresh, grams_of, mix, read_file, scratch_path, sendable, stored, united, words_of, write_file
+from .common import bounded, byte_view, check_names, class_rows, components, drop, fresh, grams_of, lean, mix, read_file, scratch_path, sendable, stored, united, words_of, write_file
 
 N = 2
 THRESHOLD = 0.7
@@ -47,13 +47,15 @@ _ALIKE = 6
 #: only those of different leaders are compared.
 HOT_SAMPLED = 64
 #: A task joins about so many prefix grams.
-_SHARD = 1 << 20
+_SHARD = 1 << 19
 #: Sets of more grams have a sketch that grows with them.
 _DEEP = 128
-#: About so many of these in a file.
-_DEEP_SETS = 100_000
+#: About so many sets' sketches in a file.
+_FILE_SETS = 100_000
+#: Bytes of text whose grams are taken at a time: their arrays take some 40 times as many.
+_TEXT = 1 << 20
 #: Pairs listed before a task gives them out.
-_LISTED = 1 << 21
+_LISTED = 1 << 19
 #: A block of the last test holds about this many documents of a side.
 BLOCK = 2000
 
@@ -136,7 +138,7 @@ def gram_ranks(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: st
     """A rank, 0 for the rarest, of each bucket of grams, from at most SAMPLE documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 4000):
+        for batch in bounded(batches, 4000, _TEXT):
             g, _ = gram_sets(*byte_view(batch.column(0)), n)
             bucket, count = np.unique(g >> np.uint64(64 - _BUCKETS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(count.astype(np.int64))], names=["bucket", "n"])
@@ -146,7 +148,7 @@ def gram_ranks(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: st
     rows = known.count()
     if rows > SAMPLE:
         known = known.where(F.col("id") < F.lit((SAMPLE << 64) // rows - (1 << 63)))
-    found = known.select("t").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    found = known.select("t").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     often = np.zeros(1 << _BUCKETS, np.uint8)
     count = found["n"].to_numpy().astype(float)
     often[found["bucket"].to_numpy()] = np.minimum(255, np.round(16 * np.log2(np.maximum(count, 1))))
@@ -159,7 +161,7 @@ def sketches(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col:
     sent = docs.sparkSession.sparkContext.broadcast(gram_ranks(docs, n, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 4000):
+        for batch in bounded(batches, 4000, _TEXT):
             size, whole, wide, sim, key, first, deep = sketch(*byte_view(batch.column(1)), n, threshold, often=sent.value)
             texts = len(size)
             yield pa.RecordBatch.from_arrays(
@@ -177,7 +179,7 @@ def sketches(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     form = f"id {kind}, s long, size int, wide array<long>, sim long, keys array<long>, deep binary"
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, form)
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(lean(run), form)
 
 
 def _candidates(key: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, sim: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -241,11 +243,12 @@ def _deep(g: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near(pairs: DataFrame, deep: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """Of the pairs (u, v, na, nb) of sets those whose deep sketches (s, deep) are not too far
-    apart. Sketches are written once, in ``parts`` files, and two of these read at a time."""
+def _near(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Of the pairs (u, v) of sets those whose sketches (s, size, wide, deep) are not too far
+    apart. Sketches are written once, in ``parts`` files, and two of these read at a time, so
+    that what a pair moves is its two names."""
     spark = pairs.sparkSession
-    folder = scratch_path(spark, "deep")
+    folder = scratch_path(spark, "sketches")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -261,7 +264,7 @@ def _near(pairs: DataFrame, deep: DataFrame, threshold: float, parts: int) -> Da
         return F.pmod(F.col(c), F.lit(parts)).cast("int")
 
     # ranges of one part each, so that a task has one file
-    deep.select(part("s").alias("part"), "s", "deep").repartitionById(parts, "part").mapInArrow(write, "n long").count()
+    sets.select(part("s").alias("part"), "s", "size", "wide", "deep").repartitionById(parts, "part").mapInArrow(lean(write), "n long").count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, tuple] = {}
@@ -274,27 +277,36 @@ def _near(pairs: DataFrame, deep: DataFrame, threshold: float, parts: int) -> Da
                     whole = f.read_all().combine_chunks()
                 s = whole["s"].to_numpy()
                 order = np.argsort(s, kind="stable")
-                have[p] = s[order], order, whole["deep"].combine_chunks()
+                wide = whole["wide"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _WIDE)
+                have[p] = s[order], order, whole["size"].to_numpy(), wide, whole["deep"].combine_chunks()
             return have[p]
 
         for batch in batches:
-            u, v, na, nb, pu, pv = (batch.column(j).to_numpy() for j in range(6))
-            most = (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9
-            take = np.zeros(len(u), bool)
-            cut = np.append(np.flatnonzero(np.append(True, (pu[1:] != pu[:-1]) | (pv[1:] != pv[:-1]))), len(u))
+            u, v, pu, pv = (batch.column(j).to_numpy() for j in range(4))
+            take = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))  # equal pairs stand together
+            cut = np.append(np.flatnonzero(np.append(True, (pu[1:] != pu[:-1]) | (pv[1:] != pv[:-1]))), len(u)) if len(u) else []
             for a, b in zip(cut, cut[1:]):
-                (sx, ox, dx), (sy, oy, dy) = (of(int(p)) for p in (pu[a], pv[a]))
-                for k, i, j in zip(range(a, b), ox[np.searchsorted(sx, u[a:b])], oy[np.searchsorted(sy, v[a:b])]):
-                    x, y = np.frombuffer(dx[int(i)].as_buffer(), np.uint64), np.frombuffer(dy[int(j)].as_buffer(), np.uint64)
+                (sx, ox, nx, wx, dx), (sy, oy, ny, wy, dy) = (of(int(p)) for p in (pu[a], pv[a]))
+                i, j = ox[np.searchsorted(sx, u[a:b])], oy[np.searchsorted(sy, v[a:b])]
+                na, nb = nx[i], ny[j]
+                most = (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9
+                take[a:b] &= np.bitwise_count(wx[i] ^ wy[j]).sum(1, dtype=np.int64) <= most
+                for k in np.flatnonzero(take[a:b] & (np.minimum(na, nb) > _DEEP)):
+                    x, y = np.frombuffer(dx[int(i[k])].as_buffer(), np.uint64), np.frombuffer(dy[int(j[k])].as_buffer(), np.uint64)
                     while len(x) > len(y):
                         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                     while len(y) > len(x):
                         y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                    take[k] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= most[k]
-            yield batch.select([0, 1]).filter(pa.array(take))
+                    take[a + k] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= most[k]
+            yield batch.select([0, 1]).filter(pa.array(take[: len(u)]))
 
-    dealt = pairs.select("u", "v", "na", "nb", part("u").alias("pu"), part("v").alias("pv")).repartition("pu", "pv", "u").sortWithinPartitions("pu", "pv")
-    return dealt.mapInArrow(run, "u long, v long")
+    turned = part("u") > part("v")
+    dealt = pairs.select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("v"))
+    # a task has few pairs of files, and a pair of files as many tasks as there are too few of them
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("u", "v"), F.lit(math.ceil(2 * tasks / (parts * (parts + 1)))))
+    dealt = dealt.select("u", "v", part("u").alias("pu"), part("v").alias("pv")).repartition("pu", "pv", slot).sortWithinPartitions("pu", "pv", "u", "v")
+    return dealt.mapInArrow(lean(run), "u long, v long")
 
 
 def _ties(entries: DataFrame, threshold: float, shards: int) -> DataFrame:
@@ -367,8 +379,8 @@ def _ties(entries: DataFrame, threshold: float, shards: int) -> DataFrame:
         if held:
             yield from found(held)
 
-    dealt = entries.select("s", "size", "sim", "keys").mapInArrow(deal, "shard int, k binary, d binary, a binary, s binary, size binary, sim binary")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long, sure boolean")
+    dealt = entries.select("s", "size", "sim", "keys").mapInArrow(lean(deal), "shard int, k binary, d binary, a binary, s binary, size binary, sim binary")
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(run), "u long, v long, sure boolean")
 
 
 def _rooted(root: np.ndarray, ties: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -441,27 +453,21 @@ class _Plan:
         spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
         self.base = base = stored(sketches(docs, n, threshold, id_col, text_col), "sketches")
         # one row a set: its least id, and how many ids have it
-        by_id = base.where("s is not null").groupBy("s", "id").agg(F.first("size").alias("size"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("rows"))
-        self.nodes = nodes = stored(by_id.groupBy("s").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("size").alias("size"), F.first("wide").alias("wide"), F.max("rows").alias("rows"), F.sum("rows").alias("held")), "sets")
+        by_id = base.where("s is not null").groupBy("s", "id").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+        self.nodes = nodes = stored(by_id.groupBy("s").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("size").alias("size"), F.max("rows").alias("rows"), F.sum("rows").alias("held")), "sets")
         # a set of several rows gives its grams once
         again = sendable(nodes.where("held > 1").select("s"), fixed=24)
         grams = base.where("s is not null").select("s", "size", "sim", "keys")
         once = grams.join(again, "s", "left_semi").groupBy("s").agg(*[F.first(c).alias(c) for c in ("size", "sim", "keys")])
         entries = grams.join(again, "s", "left_anti").unionByName(once)
-        much = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
+        much, many = nodes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).collect()[0]
         ties = stored(_ties(entries, threshold, max(1, math.ceil(much * (1 - threshold) / _SHARD))), "ties")
         # a listed pair of two sketches too far apart would link strangers' groups
-        ends = ties.where("not sure").select("u", "v").distinct().join(nodes.select(F.col("s").alias("u"), F.col("size").alias("na"), F.col("wide").alias("wa")), "u")
-        ends = ends.join(nodes.select(F.col("s").alias("v"), F.col("size").alias("nb"), F.col("wide").alias("wb")), "v")
-        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        allowed = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
-        ends = stored(ends.where(apart <= allowed).select("u", "v", "na", "nb"), "near")
-        large = F.least("na", "nb") > _DEEP
-        parts = max(1, math.ceil(nodes.where(F.col("size") > _DEEP).count() / _DEEP_SETS))
-        # a set of several rows has its sketch of each, all the same; one is taken
-        sketched = base.where("deep is not null").join(again, "s", "left_anti").select("s", "deep")
-        sketched = sketched.unionByName(base.where("deep is not null").join(again, "s", "left_semi").groupBy("s").agg(F.first("deep").alias("deep")))
-        ends = _near(ends.where(large), sketched, threshold, parts).unionByName(ends.where(~large).select("u", "v")).unionByName(ties.where("sure").select("u", "v"))
+        sketched = base.where("s is not null").select("s", "size", "wide", "deep")
+        one = sketched.join(again, "s", "left_semi").groupBy("s").agg(*[F.first(c).alias(c) for c in ("size", "wide", "deep")])
+        sketched = sketched.join(again, "s", "left_anti").unionByName(one)
+        ends = _near(ties.where("not sure").select("u", "v"), sketched, threshold, max(1, math.ceil(many / _FILE_SETS)))
+        ends = ends.unionByName(ties.where("sure").select("u", "v"))
         root = stored(components(ends), "roots").withColumnRenamed("node", "s")
         drop(ties)
         # all pairs of a linked group are verified, in blocks of a bounded size
@@ -478,7 +484,7 @@ class _Plan:
         texts = texts.join(side, "rep").select("rep", "s", "mult", "root", "parts", "p", "t")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in bounded(batches, 4000):
+            for batch in bounded(batches, 4000, _TEXT):
                 data, ends_ = byte_view(batch.column(6))
                 g, first = gram_sets(data, ends_, n)
                 whole = sketch_hash(g, first)
@@ -486,7 +492,7 @@ class _Plan:
                 made = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(raw, pa.binary())], names=["rep", "s", "mult", "root", "parts", "p", "grams"])
                 yield made.filter(pa.array(whole.view(np.int64) == batch.column(1).to_numpy()))
 
-        held = texts.mapInArrow(sets, f"rep {kind}, s long, mult long, root long, parts int, p int, grams binary")
+        held = texts.mapInArrow(lean(sets), f"rep {kind}, s long, mult long, root long, parts int, p int, grams binary")
         self.members = base.select("id", "s")
         if nodes.where("rows > 1").limit(1).count():  # repeated rows
             held, self.members = held.dropDuplicates(["s"]), self.members.distinct()
@@ -510,7 +516,7 @@ class _Plan:
                         out.write_batch(row)
                     write_file(folder, f"{row.column(0)[0].as_py()}_{row.column(2)[0].as_py()}", [np.frombuffer(sink.getvalue(), np.uint8)])
 
-        whole = whole.mapInArrow(write, whole.schema)
+        whole = whole.mapInArrow(lean(write), whole.schema)
         whole = stored(whole, "blocks")
         some = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         pairs = parts.select("root", "parts", some.alias("i")).select("root", "parts", "i", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)).alias("j"))
@@ -533,7 +539,7 @@ def _marked(rows: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
             take = (sent.value[x >> 5] >> (x & 31).astype(np.uint32)) & np.uint32(1)
             yield batch.select([0, 1]).filter(pa.array(take.astype(bool)))
 
-    return rows.where("rep is not null").select("rep", "t", spot.alias("x")).mapInArrow(run, f"rep {kind}, t string")
+    return rows.where("rep is not null").select("rep", "t", spot.alias("x")).mapInArrow(lean(run), f"rep {kind}, t string")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], threshold: float):
@@ -579,7 +585,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_
                 rep = block.field("rep")
                 yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)), rep.take(pa.array(y)), pa.array(j)], names=["x", "y", "jaccard"])
 
-    near = plan.work.mapInArrow(verify, f"x {plan.kind}, y {plan.kind}, jaccard double").where("x <> y")
+    near = plan.work.mapInArrow(lean(verify), f"x {plan.kind}, y {plan.kind}, jaccard double").where("x <> y")
     return near.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
@@ -610,7 +616,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
             own = order[np.searchsorted(s[order], nodes)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(n_links[own].astype(np.int64)), pa.array(np.full(len(nodes), parts > 1))], names=["s", "root", "n", "split"])
 
-    linked = stored(plan.work.mapInArrow(verify, "s long, root long, n long, split boolean"), "links")
+    linked = stored(plan.work.mapInArrow(lean(verify), "s long, root long, n long, split boolean"), "links")
     # a group in one block has its components; those of split groups are put together
     joined = components(linked.where("split"), "s", "root")
     whole = linked.where("not split").select("s", "root").unionByName(joined.select(F.col("node").alias("s"), "root"))

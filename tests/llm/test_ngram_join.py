@@ -228,3 +228,26 @@ def test_sets_of_a_large_group_are_kept_once(spark, monkeypatch):
         held.append(sum(len(x.grams) for s in sets for x in s) + files)
         assert as_dict(nj.jaccard_classes(docs)) == want
     assert held[1] < 1.5 * held[0]
+
+
+def test_tasks_give_their_memory_back(spark):
+    """What workers keep after the join's tasks would add up with what the next ones take."""
+
+    def own(batches):
+        for batch in batches:
+            status = dict(x.split(":", 1) for x in Path("/proc/self/status").read_text().splitlines())
+            yield pa.RecordBatch.from_arrays([pa.array([int(status["RssAnon"].split()[0]) >> 10])], names=["mb"])
+
+    rng = np.random.default_rng(4)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 400_000, 400)) for _ in range(6000)]
+    docs = common.stored(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(4), "docs")
+    assert nj.jaccard_classes(docs).count() == len(text)
+    held = spark.range(64).repartition(16).mapInArrow(own, "mb long").collect()
+    assert max(r.mb for r in held) < 150
+
+
+def test_sketches_in_many_files(spark, monkeypatch):
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nj, "_FILE_SETS", 7, raising=False)
+    assert as_dict(nj.jaccard_classes(docs)) == brute(rows)[1]
