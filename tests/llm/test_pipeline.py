@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline as cp
-from lexispark.llm import language_id, quality
+from lexispark.llm import common, language_id, quality
 from lexispark.llm.common import byte_view
 
 from test_language_id import corpus
@@ -84,3 +84,13 @@ def test_odd_tables_run_through_all_stages(spark, tmp_path):
     for name, labels in (("b", []), ("c", [(1, 1), (5, 1)])):
         out = cp.run(spark, tables(tmp_path / name, rows, labels)).collect()
         assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 4), (1, 5), (5, 2)]
+
+
+def test_tables_of_earlier_stages_are_not_kept_in_the_join():
+    """The quality stage's batches of 3 MB leave a larger table of powers in the workers than the join's take."""
+    data = np.full(3 << 20, 97, np.uint8)
+    common.words_of(data, np.array([0, len(data)]))
+    seen = list(common.lean(lambda batches: (sum(x.nbytes for x in common._POWERS.values()) for _ in batches))([1]))
+    assert seen == [0]
+    common.words_of(data[: 1 << 19], np.array([0, 1 << 19]))
+    assert sum(x.nbytes for x in common._POWERS.values()) <= 1 << 24
