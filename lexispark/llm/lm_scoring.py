@@ -20,6 +20,7 @@ positions where the hash of the bytes before is 0 modulo it.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_view, check_names, drop, mix, scratch_path, stored
+from .common import bounded, byte_view, check_names, drop, lean, mix, scratch_path, stored
 
 DEPTH = 5
 DEEP = 6
@@ -50,6 +51,10 @@ _SLICE = 1 << 21
 _SPREAD = 2654435761
 _LONG_SHARD = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
+#: Long contexts are counted in up to so many rounds, each of at least so many positions, so that
+#: what is moved at a time is a share of the 12 bytes a position.
+_ROUNDS = 20
+_ROUND = 4 << 20
 
 
 def padded(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,22 +277,62 @@ def _lookup(codes: np.ndarray, k: int, level: tuple[np.ndarray, np.ndarray, np.n
     return np.where(found == asked, q[here], np.where(retained, log_p + weight[side], log_p))
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, codes: np.ndarray, long: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys) of the positions that may have a long context: those with ``long``
+def anchors(data: np.ndarray, ends: np.ndarray, codes: np.ndarray | None, long: int, anchor: int, rounds: int = 1, only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, keys, rounds) of the positions that may have a long context: those with ``long``
     bytes before them in their text whose preceding bytes hash to 0 modulo ``anchor``.
-    A key is 56 bits of the context's hash and the byte that follows it."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if not long or len(data) <= long:
+    A key is 56 bits of the context's hash and the byte that follows it. The last bytes of
+    a context tell its round; ``only`` gives the positions of one. ``codes`` may be None for anchor 1."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = len(data)
+    if not long or size <= long:
         return none
-    at = np.flatnonzero(mix(codes >> np.uint64(8)) % np.uint64(anchor) == 0)
-    at = at[at - ends[np.searchsorted(ends, at, side="right") - 1] >= long]
-    h = np.zeros(len(at), np.uint64)
+    take = np.ones(size, bool)
+    early = (ends[:-1, None] + np.arange(long)).reshape(-1)  # beyond a short text's end are the next one's first
+    take[early[early < size]] = False
+    take = take[long:]
+    if anchor > 1:
+        take &= mix(codes[long:] >> np.uint64(8)) % np.uint64(anchor) == 0
+    turn = np.zeros(size - long, np.uint32)
+    if rounds > 1:
+        for i in range(1, min(4, long) + 1):
+            turn += data[long - i : size - i]
+            turn *= np.uint32(0x9E3779B1)
+            turn ^= turn >> np.uint32(15)
+        turn >>= np.uint32(16)
+        turn *= np.uint32(rounds)
+        turn >>= np.uint32(16)
+    if only is not None:
+        take &= turn == only
+    own = np.flatnonzero(take)
+    at = own + long
     with np.errstate(over="ignore"):
-        for i in range(long, 0, -1):
-            h = (h + data[at - i] + np.uint64(1)) * np.uint64(_STEP)
+        h = np.zeros(len(at), np.uint64)
+        width = min(8, long)
+        words = np.ndarray(size - 7, "<u8", np.ascontiguousarray(data), strides=(1,)) if width == 8 else data
+        for i in [*range(0, long - width, width), long - width]:  # the last may overlap the one before
+            h = (h + words[own + i] + np.uint64(1)) * np.uint64(_STEP)
             h ^= h >> np.uint64(29)
         h = mix(h)
-    return at, (h & ~np.uint64(255)) | data[at]
+    return at, (h & ~np.uint64(255)) | data[at], turn[own].astype(np.int64)
+
+
+def _grams_at(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """``grams`` of some places with ``depth`` bytes before them."""
+    code = np.zeros(len(at), np.uint64)
+    for i in range(depth, -1, -1):
+        code = (code << np.uint64(8)) | data[at - i]
+    return code
+
+
+def _by_shard(mine: np.ndarray, shards: int) -> np.ndarray:
+    """The order that brings the places of each shard together; numpy sorts 16 bits by counting."""
+    return np.argsort(mine.astype(np.uint16) if shards <= 1 << 16 else mine, kind="stable")
+
+
+def _clear(spark) -> None:
+    """Let Spark delete what earlier exchanges wrote, when nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _write(folder: str, name: str, parts: list[np.ndarray]) -> None:
@@ -328,7 +373,8 @@ class ShardedTree:
     long: int = 0
     anchor: int = ANCHOR
     long_shards: int = 1
-    long_files: dict[int, int] = field(default_factory=dict)
+    long_rounds: int = 1
+    long_files: dict[int, tuple[int, int]] = field(default_factory=dict)
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def shard(self, i: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -353,7 +399,7 @@ class ShardedTree:
             out = _lookup(codes, k, level, out)
         if self.files:
             mine = shard_of(codes, self.shards).astype(np.int64)
-            order = np.argsort(mine, kind="stable")
+            order = _by_shard(mine, self.shards)
             cut = np.searchsorted(mine[order], np.arange(self.shards + 1))
             for i in self.files:
                 at = order[cut[i] : cut[i + 1]]
@@ -365,18 +411,24 @@ class ShardedTree:
                 out[at] = p
         return out
 
-    def long_log_p(self, keys: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def long_shard(self, keys: np.ndarray, turn: np.ndarray | int) -> np.ndarray:
+        each = self.long_shards // self.long_rounds
+        return ((keys >> np.uint64(8)) % np.uint64(each)).astype(np.int64) + turn * each
+
+    def long_log_p(self, keys: np.ndarray, turn: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log probability, whether the context is retained) of anchored positions,
         from the log probabilities that the shorter contexts give."""
         out, known = log_p.copy(), np.zeros(len(keys), bool)
-        mine = (keys >> np.uint64(8)) % np.uint64(self.long_shards)
-        order = np.argsort(mine, kind="stable")
-        cut = np.searchsorted(mine[order], np.arange(self.long_shards + 1, dtype=np.uint64))
-        for i, n in self.long_files.items():
+        mine = self.long_shard(keys, turn)
+        order = _by_shard(mine, self.long_shards)
+        cut = np.searchsorted(mine[order], np.arange(self.long_shards + 1))
+        for i, (n, kinds) in self.long_files.items():
             at = order[cut[i] : cut[i + 1]]
             if not len(at):
                 continue
-            key, q, weight = _level(_read(self.folder, f"long-{i}"), n)
+            whole = _read(self.folder, f"long-{i}")
+            key, q, which = (np.frombuffer(whole, kind, n, skip * n) for kind, skip in (("<u8", 0), ("<f4", 8), ("<u2", 12)))
+            weight = np.frombuffer(whole, "<f4", kinds, 14 * n)
             asked = keys[at]
             here = np.searchsorted(key, asked)
             left, right = np.maximum(here, 1) - 1, np.minimum(here, n - 1)
@@ -384,7 +436,7 @@ class ShardedTree:
             side = np.where(same, right, left)
             held = same | ((key[left] >> np.uint64(8)) == (asked >> np.uint64(8)))
             known[at] = held
-            out[at] = np.where(key[right] == asked, q[right], np.where(held, log_p[at] + weight[side], log_p[at]))
+            out[at] = np.where(key[right] == asked, q[right], np.where(held, log_p[at] + weight[which[side]], log_p[at]))
         return out, known
 
     def score(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,7 +446,7 @@ class ShardedTree:
         texts = len(ends) - 1
         total = np.zeros(texts)
         owner = np.repeat(np.arange(texts), np.diff(ends))
-        at, keys = anchors(data, ends, codes, self.long, self.anchor)
+        at, keys, turn = anchors(data, ends, codes, self.long, self.anchor, self.long_rounds)
         short = np.zeros(len(at))
         for lo in range(0, len(codes), _SLICE):
             c, back = np.unique(codes[lo : lo + _SLICE], return_inverse=True)
@@ -402,7 +454,7 @@ class ShardedTree:
             total += np.bincount(owner[lo : lo + _SLICE], p, texts)
             here = slice(*np.searchsorted(at, [lo, lo + _SLICE]))
             short[here] = p[at[here] - lo]
-        p, known = self.long_log_p(keys, short)
+        p, known = self.long_log_p(keys, turn, short)
         of = owner[at]
         return total + np.bincount(of, p - short, texts), np.bincount(of, minlength=texts), np.bincount(of, known, texts)
 
@@ -447,27 +499,31 @@ def fit(docs: DataFrame, depth: int = DEPTH, least: float = COUNT, divergence: f
 def _grow_long(docs: DataFrame, tree: ShardedTree, total: int, long: int, anchor: int, divergence: float, smooth: float, text_col: str) -> None:
     """Count the long contexts of all documents, keep those that repeat and diverge from
     what the tree says without them, and write them as files of their own."""
-    shards = max(1, math.ceil(total / anchor / _LONG_SHARD))
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    rounds = max(1, min(_ROUNDS, total // anchor // _ROUND))
+    shards = rounds * max(1, math.ceil(total / anchor / _LONG_SHARD / rounds))
+    each = shards // rounds
+    tree.long, tree.anchor, tree.long_shards, tree.long_rounds = long, anchor, shards, rounds
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(tree)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         t = sent.value
-        for batch in bounded(batches, 4000):
+        for batch in bounded(batches, 4000, 1 << 19):
             data, ends = byte_view(batch.column(0))
-            codes = grams(data, ends, t.depth)
-            at, keys = anchors(data, ends, codes, long, anchor)
+            codes = grams(data, ends, t.depth) if anchor > 1 or long < t.depth else None
+            at, keys, _ = anchors(data, ends, codes, long, anchor, rounds, turn)
             if not len(at):
                 continue
-            c, back = np.unique(codes[at], return_inverse=True)
+            c, back = np.unique(_grams_at(data, at, t.depth) if codes is None else codes[at], return_inverse=True)
             q = t.log_p(c)[back].astype(np.float32)
-            mine = ((keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(mine, kind="stable")
-            cut = np.searchsorted(mine[order], np.arange(shards + 1))
+            mine = t.long_shard(keys, 0)
+            order = _by_shard(mine, each)
+            cut = np.searchsorted(mine[order], np.arange(each + 1))
             some = np.flatnonzero(np.diff(cut))
             # one row a shard, not one a position: what travels is arrays
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([x[order[cut[i] : cut[i + 1]]].tobytes() for i in some], pa.binary()) for x in (keys, q))], names=["shard", "keys", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array((some + turn * each).astype(np.int32)), *(pa.array([x[order[cut[i] : cut[i + 1]]].tobytes() for i in some], pa.binary()) for x in (keys, q))], names=["shard", "keys", "q"])
 
-    def written(i: int, keys: np.ndarray, q: np.ndarray) -> int:
+    def written(i: int, keys: np.ndarray, q: np.ndarray) -> tuple[int, int]:
         order = np.argsort(keys, kind="stable")
         keys, q = keys[order], q[order].astype(np.float64)
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -479,17 +535,19 @@ def _grow_long(docs: DataFrame, tree: ShardedTree, total: int, long: int, anchor
         own = n / sums
         kept = (sums >= REPEATED) & (np.repeat(np.add.reduceat(own * (np.log(own) - q), begin), size) >= divergence)
         key, n, q, sums = key[kept], n[kept], q[kept], sums[kept]
+        # few different totals, as all of them add up to the shard's positions: a pair has the number of its own
+        kinds, which = np.unique(sums, return_inverse=True)
         if len(key):
-            _write(tree.folder, f"long-{i}", [key.astype("<u8"), np.log((n + smooth * np.exp(q)) / (sums + smooth)).astype("<f4"), np.log(smooth / (sums + smooth)).astype("<f4")])
-        return len(key)
+            _write(folder, f"long-{i}", [key.astype("<u8"), np.log((n + smooth * np.exp(q)) / (sums + smooth)).astype("<f4"), which.astype("<u2"), np.log(smooth / (kinds + smooth)).astype("<f4")])
+        return len(key), len(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []
 
         def done():
-            n = written(now, *(np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in ((0, np.uint64), (1, np.float32)))) if held else 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([n], pa.int64())], names=["shard", "n"])
+            n = written(now, *(np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in ((0, np.uint64), (1, np.float32)))) if held else (0, 0)
+            if n[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([x], pa.int64()) for x in n)], names=["shard", "n", "kinds"])
 
         for batch in batches:
             for shard, *row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -499,9 +557,18 @@ def _grow_long(docs: DataFrame, tree: ShardedTree, total: int, long: int, anchor
                 held.append([x.as_buffer() for x in row])
         yield from done()
 
-    dealt = docs.where(F.length(text_col) > long).select(text_col).mapInArrow(collect, "shard int, keys binary, q binary")
-    found = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, n long").collect()
-    tree.long, tree.anchor, tree.long_shards, tree.long_files = long, anchor, shards, {r["shard"]: r["n"] for r in found}
+    folder = tree.folder
+
+    def one_round(turn: int) -> list:
+        dealt = docs.where(F.length(text_col) > 0).select(text_col).mapInArrow(lean(lambda batches: collect(batches, turn)), "shard int, keys binary, q binary")
+        return dealt.repartition(each, "shard").sortWithinPartitions("shard").mapInArrow(lean(run), "shard int, n long, kinds long").collect()
+
+    found = []
+    for turn in range(rounds):
+        if rounds > 1:
+            _clear(spark)
+        found += one_round(turn)
+    tree.long_files = {r["shard"]: (r["n"], r["kinds"]) for r in found}
 
 
 def _grow_shards(counted: DataFrame, depth: int, head, least: float, divergence: float, smooth: float, shards: int, folder: str) -> list:

@@ -192,3 +192,25 @@ def test_every_position_may_have_a_long_context(spark):
     docs = spark.createDataFrame([(i, n + passage) for i, n in enumerate(noise)], "doc_id long, text string")
     # of the 61 positions with 20 bytes before them the last alone follows a context that repeats
     assert [r.known_share for r in lm.score(docs, lm.fit(docs)).collect()] == [1 / 61] * 2
+
+
+def test_rounds_move_a_share_at_a_time(spark, monkeypatch):
+    """The result of one round and of several; a round moves its own positions alone."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefgh "), 500)) for _ in range(20)]
+    texts += texts[:5] + [texts[6][:300] + "~" * 90, "é" * 12, "", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, lm.score(docs, lm.fit(docs)).collect()), key=lambda r: r[0])
+    assert want[26][4] is not None  # 24 bytes, though 12 characters
+    monkeypatch.setattr(lm, "_ROUND", 1000)
+    monkeypatch.setattr(lm, "_ROUNDS", 7)
+    monkeypatch.setattr(lm, "_LONG_SHARD", 300)
+    tree = lm.fit(docs)
+    assert tree.long_rounds == 7 and len(tree.long_files) > 14
+    got = sorted(map(tuple, lm.score(docs, tree).collect()), key=lambda r: r[0])
+    for x, y in zip(got, want, strict=True):
+        assert x[:2] == y[:2] and x[4] == y[4] and (x[2] is None or np.isclose(x[2], y[2], rtol=1e-6))
+    data, ends = byte_view(pa.array(texts))
+    shares = [len(lm.anchors(data, ends, None, 20, 1, 7, i)[0]) for i in range(7)]
+    assert sum(shares) == len(lm.anchors(data, ends, None, 20, 1)[0]) == sum(max(0, len(t.encode()) - 20) for t in texts)
+    assert max(shares) < 0.3 * sum(shares)
