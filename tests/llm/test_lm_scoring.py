@@ -214,3 +214,47 @@ def test_rounds_move_a_share_at_a_time(spark, monkeypatch):
     shares = [len(lm.anchors(data, ends, None, 20, 1, 7, i)[0]) for i in range(7)]
     assert sum(shares) == len(lm.anchors(data, ends, None, 20, 1)[0]) == sum(max(0, len(t.encode()) - 20) for t in texts)
     assert max(shares) < 0.3 * sum(shares)
+
+
+def test_spans_hold_each_position_once_and_move_little():
+    """What is counted travels as text: a share of the 12 bytes that each position took."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(30)] + ["short", "", "é" * 30, "x" * 5000, "exactly twenty bytes"]
+    data, ends = byte_view(pa.array(texts))
+    at, keys, where = lm.anchors(data, ends, None, 20, 1)
+    context = {p: bytes(data[p - 20 : p]) for p in at}
+    assert len(at) == sum(max(0, len(t.encode()) - 20) for t in texts)
+    place = {}
+    assert all(place.setdefault(context[p], w) == w for p, w in zip(at, where))  # a context lies in one shard
+    assert len({(context[p], data[p]) for p in at}) == len(set(keys.tolist()))
+    met, moved = [], 0
+    for turn in range(3):
+        start, length, of = lm.spans(data, ends, 20, 3, turn)
+        moved += length.sum()
+        met += [(p, w) for s, n, w in zip(start, length, of) for p in range(s + 20, s + n)]
+    assert sorted(met) == list(zip(at, where))
+    assert moved < 6 * len(at) and lm._ROUNDS <= 3
+
+
+def test_a_large_shard_is_sorted_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abcdefgh "), 700)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:4], "ab" * 900])), "doc_id long, text string")
+    want = sorted(map(tuple, lm.score(docs, lm.fit(docs)).collect()))
+    monkeypatch.setattr(lm, "_PART", 900)
+    monkeypatch.setattr(lm, "_DEALT", 2000)
+    tree = lm.fit(docs)
+    assert tree.long_shards == 1
+    assert sorted(map(tuple, lm.score(docs, tree).collect())) == want and sum(r[4] == 1 for r in want) == 8
+
+
+def test_log_probabilities_of_grams_that_the_corpus_lacks(spark):
+    docs = spark.createDataFrame([(0, "the cat sat on the mat. " * 30), (1, "abracadabra " * 30)], "doc_id long, text string")
+    tree = lm.fit(docs, depth=6, long=0)
+    texts = [t for _, t in docs.collect()]
+    grams = plain_counts(texts, 6)
+    want = plain_tree(texts, 6, lm.COUNT / sum(grams.values()), lm.DIVERGENCE, lm.SMOOTH)
+    for text in ("the dog sat", "cabra the cab", "~~ the mat ~", "on the bat. abracad"):
+        data, ends = byte_view(pa.array([text]))
+        assert np.isclose(tree.score(data, ends)[0][0], plain_score(want, text, 6), rtol=1e-4)
