@@ -255,11 +255,12 @@ class Searcher:
             distance = self.index.facet_geo.where(F.col("field") == geo[0]).select("doc_id", text.haversine_km(F.lit(float(g["lat"])), F.lit(float(g["lon"])), F.col("lat"), F.col("lon")).alias("km"))
         ranked = plan.scored.join(candidates, "doc_id", "left_semi")
         ranked = ranked.join(distance, "doc_id", "left") if distance is not None else ranked.withColumn("km", F.lit(None).cast("double"))
-        by = [F.asc_nulls_last("km")] if o.sort_by_distance and distance is not None else []
+        # the nearest first, and of those equally far the one of the least id
+        by = [F.asc_nulls_last("km")] if o.sort_by_distance and distance is not None else [F.desc("score")]
         organic = ranked.where(~F.col("doc_id").isin(*pinned)) if pinned else ranked
         # limit first, then fetch what the hits show
         room = 0 if exclusive else max(0, o.limit - len(shown))
-        top = [(r["doc_id"], r["score"], r["km"]) for r in organic.orderBy(*by, F.desc("score"), "doc_id").limit(room).collect()] if room else []
+        top = [(r["doc_id"], r["score"], r["km"]) for r in organic.orderBy(*by, "doc_id").limit(room).collect()] if room else []
         pin_scores: dict[int, float] = {}
         pin_km: dict[int, float] = {}
         if pinned:

@@ -122,6 +122,12 @@ def test_geo(s):
     assert ids(s.search("widget", Options(filters={"at": {"lat": 51.5, "lon": -0.1, "radius_km": 100}}))) == [1]
 
 
+def test_documents_equally_far_come_by_id(spark):
+    rows = [(i, "", "widget " * i, None, {}, {}, {"at": (10.0, 20.0)}, None, "") for i in (1, 2, 3)]
+    near = Searcher(build_documents(frame(spark, rows), FIELDS)).search("widget", Options(filters={"at": {"lat": 10.0, "lon": 20.5, "radius_km": 100}}, sort_by_distance=True))
+    assert ids(near) == [1, 2, 3]
+
+
 def test_pins(s):
     r = s.search("best widget")
     assert ids(r)[:2] == [3, 2] and [h.pinned for h in r.hits[:2]] == [True, True]
