@@ -7,8 +7,7 @@ which Spark has no built-in for and which run as Arrow UDFs.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +18,7 @@ from . import profiles
 from .profiles import Profile
 
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+_LATIN = "latin"  # stands for no script of its own
 SEA = r"\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}"
 
 
@@ -123,40 +123,53 @@ def script_counts(text: Column) -> Column:
     )
 
 
-def marker_counts(text: Column, codes: Iterable[str]) -> dict[str, Column]:
-    """How many words of a text are marker words of each language."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
-
-    def count(markers: Iterable[str]) -> Column:
-        return F.size(F.filter(found, lambda w: w.isin(*sorted(markers))))
-
-    return {c: count(profiles.MARKERS[c]) for c in codes if c in profiles.MARKERS}
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
 
 
 def detect_language(text: Column, codes: Iterable[str]) -> Column:
     """Language by script share, else by the unique greatest count of marker words, else null."""
     codes = sorted(set(codes))
-    s = script_counts(text)
-    share = lambda x: x / s["letters"] >= 0.3
-    some = s["letters"] > 0
 
     def if_candidate(code: str) -> Column:
         return F.lit(code if code in codes else None).cast("string")
 
-    counts = marker_counts(text, codes)
+    def by_script(s: Column) -> Column:
+        share = lambda x: (s["letters"] > 0) & (x / s["letters"] >= 0.3)
+        return (
+            F.when(share(s["han"] + s["kana"]), F.when(s["kana"] > 0, if_candidate("ja")).otherwise(if_candidate("zh")))
+            .when(share(s["thai"]), if_candidate("th"))
+            .when(share(s["lao"]), if_candidate("lo"))
+            .when(share(s["khmer"]), if_candidate("km"))
+            .otherwise(F.lit(_LATIN))
+        )
+
+    markers = {c: sorted(profiles.MARKERS[c]) for c in codes if c in profiles.MARKERS}
+
+    def number(found: Column, of: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*of)))
+
+    def by_markers(found: Column) -> Column:
+        """The language with most of the marker words found; a count is its place in an array."""
+        counts = F.array(*[number(found, m) for m in markers.values()])
+
+        def named(n: Column) -> Column:
+            best = F.array_max(n)
+            alone = F.size(F.filter(n, lambda x: x == best)) == 1
+            return F.when((best > 0) & alone, F.array(*[F.lit(c) for c in markers])[F.array_position(n, best).cast("int") - 1])
+
+        return once(counts, named)
+
     latin = F.lit(None).cast("string")
-    if counts:
-        best = F.greatest(*counts.values(), F.lit(0))
-        winners = reduce(lambda a, b: a + b, [(c == best).cast("int") for c in counts.values()])
-        named = F.coalesce(*[F.when(c == best, F.lit(k)) for k, c in counts.items()])
-        latin = F.when((best > 0) & (winners == 1), named)
-    return (
-        F.when(some & share(s["han"] + s["kana"]), F.when(s["kana"] > 0, if_candidate("ja")).otherwise(if_candidate("zh")))
-        .when(some & share(s["thai"]), if_candidate("th"))
-        .when(some & share(s["lao"]), if_candidate("lo"))
-        .when(some & share(s["khmer"]), if_candidate("km"))
-        .otherwise(latin)
-    )
+    if markers:
+        every = sorted({w for m in markers.values() for w in m})
+        words_ = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
+        latin = once(F.filter(words_, lambda w: w.isin(*every)), by_markers)
+    # letters are counted where the text has some of another script only
+    other = text.rlike(r"[\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]")
+    script = F.when(other, once(script_counts(text), by_script)).otherwise(F.lit(_LATIN))
+    return once(script, lambda k: F.when(k == _LATIN, latin).otherwise(k))
 
 
 def is_rtl(code: Column) -> Column:
@@ -193,6 +206,13 @@ def excerpt(body: Column, size: int = 200) -> Column:
     return F.when(F.length(body) <= size, body).otherwise(F.concat(cut, F.lit("…")))
 
 
+def excerpt_of(raw: Column, size: int = 200) -> Column:
+    """The excerpt of a collapsed text; of a long one only the beginning is collapsed, where that is enough."""
+    head = collapse(F.substring(raw, 1, 5 * size))
+    enough = (F.length(raw) > 5 * size) & (F.length(head) > size + 1)
+    return F.when(enough, excerpt(head, size)).otherwise(excerpt(collapse(raw), size))
+
+
 def hierarchy_paths(path: Column, separator: str = ">") -> Column:
     """All ancestors of a path, itself last; segments trimmed, empty ones dropped."""
     import re
