@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,11 +90,16 @@ class Searcher:
 
     def __init__(self, index: LexicalIndex):
         self.index = index
-        self.spark = index.postings.sparkSession
+        self.spark = index.stats.sparkSession
         self.counts = {r["lang"]: r["doc_count"] for r in index.stats.collect()}
-        self.means: dict[str, dict[str, float]] = {}
-        for r in index.field_stats.collect():
-            self.means.setdefault(r["lang"], {})[r["field"]] = r["avg_len"]
+
+    @cached_property
+    def means(self) -> dict[str, dict[str, float]]:
+        """Mean lengths of fields by language."""
+        means: dict[str, dict[str, float]] = {}
+        for r in self.index.field_stats.collect():
+            means.setdefault(r["lang"], {})[r["field"]] = r["avg_len"]
+        return means
 
     # --- expansion ---
 
@@ -110,26 +115,24 @@ class Searcher:
         if self.index.deletions is None:
             return []
         mine = self.spark.range(1).select(F.explode(text.deletes(F.lit(term), self.index.max_edits)).alias("deletion"))
-        met = self.index.deletions.where(F.col("lang") == lang).join(F.broadcast(mine), "deletion").select("term").distinct()
+        # a term that shares a deletion with another differs from it by so many characters at most
+        near = F.abs(F.length("term") - F.lit(len(term))) <= self.index.max_edits
+        met = self.index.deletions.where((F.col("lang") == lang) & near).join(F.broadcast(mine), "deletion").select("term").distinct()
         rows = met.select("term", F.levenshtein(F.col("term"), F.lit(term)).alias("d")).orderBy("d", "term").collect()
         return [(r["term"], r["d"]) for r in rows]
 
     # --- the plan ---
 
-    def _postings(self, lang: str, term: Column, starts: list[str] | None = None) -> DataFrame:
-        rows = self.index.postings.where((F.col("lang") == lang) & term)
-        return rows if starts is None else rows.where(F.col("prefix1").isin(*starts))
-
     def plan(self, query: Query, o: Options, lang: str) -> Plan:
         exact: list[tuple[int, str, float, int]] = []  # slot, term, weight, order
-        parts: list[DataFrame] = []
+        heads: list[tuple[int, str]] = []  # slot, beginning
+        attempts: list[tuple[int, list[str], float, int]] = []  # slot, words, weight, order
         slots: list[str | None] = []
         for t in query.terms:
             slot = len(slots)
             slots.append(None if t.prefix else t.term)
             if t.prefix:
-                rows = self._postings(lang, F.col("term").startswith(t.term), [t.term[:1]])
-                parts.append(rows.select(F.lit(slot).alias("slot"), "term", F.lit(1.0).alias("weight"), F.lit(slot * 1000).alias("ord"), "doc_id", "boost", "df", "fields"))
+                heads.append((slot, t.term))
                 continue
             ways: dict[str, float] = {t.term: 1.0}
             if o.synonyms:
@@ -139,23 +142,29 @@ class Searcher:
                 for v, d in self.fuzzy_terms(lang, t.term):
                     ways.setdefault(v, o.fuzzy_weight**d)
             exact += [(slot, term, w, slot * 1000 + i) for i, (term, w) in enumerate(ways.items())]
-        if exact:
-            # a row an expanded query term
-            clauses = self.spark.createDataFrame(exact, "slot int, term string, weight double, ord int")
-            wanted = sorted({t for _, t, _, _ in exact})
-            rows = self._postings(lang, F.col("term").isin(*wanted), sorted({t[:1] for t in wanted}))
-            parts.insert(0, rows.join(F.broadcast(clauses), "term").select("slot", "term", "weight", "ord", "doc_id", "boost", "df", "fields"))
         phrase_words: list[str] = []
         for words in query.phrases:
             slot = len(slots)
             slots.append(None)
             own = [w.term for w in words]
-            attempts = [(own, 1.0)]
-            if o.synonyms:
-                attempts += [(v.split(" "), o.synonym_weight) for v in self.variants(lang, " ".join(own), ("phrase",))]
             phrase_words += own
-            for i, (terms_, weight) in enumerate(attempts):
-                parts.append(self._phrase(lang, terms_, slot, weight, slot * 1000 + i * 50))
+            tried = [(own, 1.0)]
+            if o.synonyms:
+                tried += [(v.split(" "), o.synonym_weight) for v in self.variants(lang, " ".join(own), ("phrase",))]
+            attempts += [(slot, terms_, weight, slot * 1000 + i * 50) for i, (terms_, weight) in enumerate(tried)]
+        # all that the query asks of the postings comes at once
+        wanted = sorted({t for _, t, _, _ in exact})
+        postings = self.index.postings_of(lang, [*wanted, *(t for _, words, _, _ in attempts for t in words)], [h for _, h in heads])
+        parts: list[DataFrame] = []
+        if exact:
+            # a row an expanded query term
+            clauses = self.spark.createDataFrame(exact, "slot int, term string, weight double, ord int")
+            rows = postings.where(F.col("term").isin(*wanted))
+            parts.append(rows.join(F.broadcast(clauses), "term").select("slot", "term", "weight", "ord", "doc_id", "boost", "df", "fields"))
+        for slot, head in heads:
+            rows = postings.where(F.col("term").startswith(head))
+            parts.append(rows.select(F.lit(slot).alias("slot"), "term", F.lit(1.0).alias("weight"), F.lit(slot * 1000).alias("ord"), "doc_id", "boost", "df", "fields"))
+        parts += [self._phrase(postings, *a) for a in attempts]
         matched = reduce(DataFrame.unionByName, parts)
         # a document must be in as many slots as the operator asks
         slot_docs = matched.select("slot", "doc_id").distinct()
@@ -171,7 +180,7 @@ class Searcher:
             failed = [s for i, s in enumerate(slots) if s is not None and i not in found]
             missing = sorted(set(phrase_words))
             if missing:
-                have = {r[0] for r in self._postings(lang, F.col("term").isin(*missing)).select("term").distinct().collect()}
+                have = {r[0] for r in postings.where(F.col("term").isin(*missing)).select("term").distinct().collect()}
                 failed += [w for w in dict.fromkeys(phrase_words) if w not in have and w not in failed]
         boosts = {k: f.boost for k, f in self.index.fields.items()} | o.field_boosts
         one = posting_score(F.col("fields"), F.col("df"), self.counts.get(lang, 0), self.means.get(lang, {}), boosts) * F.col("weight")
@@ -187,10 +196,10 @@ class Searcher:
         )
         return Plan(candidates, scored, failed)
 
-    def _phrase(self, lang: str, words: list[str], slot: int, weight: float, order: int) -> DataFrame:
+    def _phrase(self, postings: DataFrame, slot: int, words: list[str], weight: float, order: int) -> DataFrame:
         """Postings of a phrase's words in the documents that hold them side by side in one field."""
         distinct = sorted(set(words))
-        rows = self._postings(lang, F.col("term").isin(*distinct), sorted({w[:1] for w in distinct}))
+        rows = postings.where(F.col("term").isin(*distinct))
         docs = rows.groupBy("doc_id").agg(F.max("boost").alias("boost"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", F.struct("df", "fields").alias("p"))))).alias("of"))
         docs = docs.where(F.size("of") == len(distinct))
         first = F.col("of")[words[0]]["fields"]

@@ -40,3 +40,16 @@ def test_fuzzy_terms_with_digits_and_accents(spark, tmp_path):
     got = {r["term"]: r["distance"] for r in catalog.fuzzy_expand(spark, written(spark, tmp_path, [" ".join(terms), "tionble tiobnle"])).collect()}
     want = {t: d for t in [*terms, "tiobnle"] if 0 < (d := edits(t, "tionble")) <= 2}
     assert got == want and {"tionblé", "tion8le"} <= set(got)
+
+
+def test_token_rows_are_those_of_the_expressions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexispark.functions import text
+
+    path = written(spark, tmp_path, [*TEXTS, "ΑΣ'Α ΟΔΟΣ İx", "日本語 ＡＢ ½ x_y"])
+    docs = catalog.table(spark, path, "documents")
+    want = docs.select("doc_id", F.explode(text.tokens(F.col("text"), catalog.PROFILE)).alias("t")).select("doc_id", "t.position", "t.term")
+    df = catalog.token_positions(spark, path)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()

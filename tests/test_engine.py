@@ -285,3 +285,53 @@ def test_driver_and_cluster_analysis_agree(spark):
         df = spark.createDataFrame([(x,) for x in samples], "t string")
         got = [r[0] for r in df.select(text.terms(F.col("t"), p)).collect()]
         assert got == [[t for t, _ in analyze(x, p)] for x in samples]
+
+
+def test_an_index_not_written_answers_as_a_written_one(spark):
+    from lexispark.plans import index as ix
+
+    synonyms = {"en": {"equivalences": [["gadget", "gizmo", "doodad"]], "multiWord": [["noise cancelling", "headphones cancelling"]]}}
+    build = lambda: build_documents(frame(spark), FIELDS, synonyms=synonyms, fuzzy=True, hierarchical={"place": ">"}, buckets={"price": [20.0, 40.0]})
+    written = build().cache()
+    for q, o in (("red widget", Options(operator="or", facets=("place",))), ("tele*", Options()), ('"noise cancelling" gadgot', Options(synonyms=True, fuzzy=True, operator="or")), ("gadegt", Options(fuzzy=True)), ("best widget", Options(limit=3))):
+        fresh = build()
+        assert Searcher(fresh).search(q, o) == Searcher(written).search(q, o)
+        assert isinstance(fresh.__dict__["postings"], ix.Later) and "inverted" not in fresh.texts.__dict__
+        fresh.release()
+    # facets need no postings, and from the third search of an index on all of them are written
+    fresh = build()
+    assert Searcher(fresh).facet_values("category").values and not fresh.texts.scratch
+    s = Searcher(fresh)
+    for q in ("red", "widget", "gadget"):
+        assert s.search(q).total_hits == Searcher(written).search(q).total_hits
+    assert "inverted" in fresh.texts.__dict__ and sorted(map(tuple, fresh.occurrences().collect())) == sorted(map(tuple, build().occurrences().collect()))
+    for name in ("terms", "field_stats"):
+        assert sorted(map(tuple, getattr(build(), name).collect())) == sorted(map(tuple, getattr(written, name).select(getattr(build(), name).columns).collect()))
+
+
+def test_occurrences_are_written_nowhere(spark):
+    index = build_documents(frame(spark), FIELDS)
+    assert index.occurrences().count() > 10 and not index.texts.scratch
+
+
+def test_workers_keep_few_stems_and_small_batches():
+    import pyarrow as pa
+
+    from lexispark.plans import invert
+
+    by = invert.inverter(["body"], ["en", "de"])
+    for code in ("en", "de"):
+        for i in range(invert.KEPT_STEMS + 10):
+            by.term(code, f"w{i}")
+    assert len(by.known) <= invert.KEPT_STEMS <= 100_000
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 5000)], names=["t"])
+    parts = list(invert.cut_batches([batch], invert.BATCH_BYTES))
+    assert sum(p.num_rows for p in parts) == 5000 and max(p.nbytes for p in parts) <= invert.BATCH_BYTES <= 1 << 20
+
+
+
+def test_words_are_those_of_the_pattern():
+    from lexispark.functions import analysis
+
+    for t in ("a_b c-d ½x", "naïve: été_x ÀB²", "".join(map(chr, range(1, 3000))), ""):
+        assert analysis.latin(t) == analysis._LATIN.findall(t)
