@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
@@ -29,6 +30,7 @@ class Options:
     synonym_weight: float = 0.5
     fuzzy: bool = False
     fuzzy_weight: float = 0.5
+    fuzzy_among: str | None = None  # a pattern of the terms that typo tolerance may take, None: all
     field_boosts: dict[str, float] = field(default_factory=dict)
     term_boosts: dict[str, float] = field(default_factory=dict)
     highlight: bool = False
@@ -140,6 +142,8 @@ class Searcher:
                     ways.setdefault(v, o.synonym_weight)
             if o.fuzzy:
                 for v, d in self.fuzzy_terms(lang, t.term):
+                    if o.fuzzy_among is not None and not re.fullmatch(o.fuzzy_among, v):
+                        continue
                     ways.setdefault(v, o.fuzzy_weight**d)
             exact += [(slot, term, w, slot * 1000 + i) for i, (term, w) in enumerate(ways.items())]
         phrase_words: list[str] = []

@@ -42,6 +42,12 @@ def test_fuzzy_terms_with_digits_and_accents(spark, tmp_path):
     assert got == want and {"tionblé", "tion8le"} <= set(got)
 
 
+def test_fuzzy_search_takes_the_terms_of_its_sql(spark, tmp_path):
+    path = written(spark, tmp_path, ["tionble", "tionblé", "tionbles", "other", "tïonble tionble"])
+    assert {r["doc_id"] for r in catalog.fuzzy_search(spark, path).collect()} == {0, 2, 4}
+    assert {r["doc_id"] for r in catalog.fuzzy_search_all(spark, path).collect()} == {0, 1, 2, 4}
+
+
 def test_token_rows_are_those_of_the_expressions(spark, tmp_path):
     from pyspark.sql import functions as F
 
